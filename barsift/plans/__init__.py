@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("labels",)
+FAMILIES = ("labels", "rules")
 
 
 def load():

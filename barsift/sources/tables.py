@@ -12,26 +12,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def priced_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as trades: code, ship time, cent price, quantity and a unique order key."""
-    rows = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-        "l_shipdate")
-    return rows.select(
-        six_digit_code("l_suppkey").alias("code"),
-        F.col("l_shipdate").alias("ts"),
+def bars(spark: SparkSession, folder: str, every: str = "week") -> DataFrame:
+    """Weekly (or daily) bars per supplier; one row per code and date.
+
+    Grouping keys stay numeric and the partial aggregate comes before the shuffle, so a
+    supplier holding much of the table shrinks to one row per session first.
+    """
+    time = F.col("l_shipdate")
+    day = F.date_trunc("week", time).cast("date") if every == "week" else time.cast("date")
+    trades = table(spark, folder, "lineitem").select(
+        "l_suppkey",
+        day.alias("date"),
         (F.floor((20 + F.col("l_extendedprice") / 10000.0) * 100) / 100).alias("px"),
         F.col("l_quantity").alias("qty"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("k"))
-
-
-def bars(spark: SparkSession, folder: str, every: str = "week") -> DataFrame:
-    """Weekly (or daily) bars per supplier; one row per code and date."""
-    day = F.date_trunc("week", "ts").cast("date") if every == "week" else F.col("ts").cast("date")
-    # Partial aggregation on (code, date) comes before the shuffle, so a hot code shrinks first.
-    return priced_lines(spark, folder).groupBy("code", day.alias("date")).agg(
+    grouped = trades.groupBy("l_suppkey", "date").agg(
         F.min_by("px", "k").alias("open"),
         F.max("px").alias("high"),
         F.min("px").alias("low"),
         F.max_by("px", "k").alias("close"),
         F.sum("qty").alias("volume"))
+    return grouped.select(
+        six_digit_code("l_suppkey").alias("code"), "date", "open", "high", "low", "close", "volume")
