@@ -6,7 +6,7 @@ is then a plain projection. Unused primitives are pruned from the plan when only
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,16 +41,24 @@ def with_primitives(panel: DataFrame) -> DataFrame:
         panel = panel.withColumn("turnover", F.col("volume"))
     if "kdj_k" not in panel.columns:
         panel = with_kdj(panel)
+    for stage in _primitive_stages():
+        panel = panel.withColumns(stage)
+    return panel
+
+
+@lru_cache(maxsize=None)
+def _primitive_stages() -> tuple[dict[str, Column], ...]:
+    """Columns of each pass; a later pass reads the earlier ones."""
     o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
     usable = both(*[x.isNotNull() for x in (o, h, lo, c, v, F.col("turnover"))])
-    bar = panel.withColumns({
+    bar = {
         "cl": close_location(),
         "upper_wick": F.greatest(F.lit(0.0), h - F.greatest(o, c)) / (F.abs(o) + EPS),
         "lower_wick": F.greatest(F.lit(0.0), F.least(o, c) - lo) / (F.abs(o) + EPS),
         "hl_span": (h - lo) / (F.abs(o) + EPS),
         "kd": F.col("kdj_k") - F.col("kdj_d"),
         "_usable": usable.cast("int"),
-    })
+    }
     raw = {f"c{n}": back("close", n) for n in LAGS}
     raw |= {
         "seq": seq(), "o1": back("open", 1), "tr": true_range(),
@@ -75,17 +83,16 @@ def with_primitives(panel: DataFrame) -> DataFrame:
         "cl_new": roll("cl", 5), "cl_old": roll("cl", 5, skip=5),
         "kd_2": back("kd", 2), "kd_4": back("kd", 4), "k_min5": roll("kdj_k", 5, "min"),
     }
-    df = bar.withColumns(raw)
     c1 = F.col("c1")
     change = c - c1
-    df = df.withColumns({
+    moves = {
         "r1": over_eps(c, c1) - 1.0,
         "up_vol": F.when(c > c1, v).when(c1.isNotNull(), F.lit(0.0)),
         "signed_vol": F.when(c1.isNotNull(), F.signum(change) * v),
         "gain": F.greatest(change, F.lit(0.0)),
         "loss": F.greatest(-change, F.lit(0.0)),
-    })
-    df = df.withColumns({
+    }
+    sums = {
         "r_1": back("r1", 1), "r_2": back("r1", 2), "r_7": back("r1", 7), "r_8": back("r1", 8),
         "r_9": back("r1", 9), "r_max5": roll("r1", 5, "max"),
         "r_up10": F.sum(flag(F.col("r1") > 0)).over(span(-9, 0)),
@@ -93,10 +100,10 @@ def with_primitives(panel: DataFrame) -> DataFrame:
         "event_close": F.last(F.when(F.col("r1") >= 0.085, c), ignorenulls=True).over(span(-19, 0)),
         "up_vol10": roll("up_vol", 10, "sum"), "obv_move": roll("signed_vol", 19, "sum"),
         "gain14": roll("gain", 14, "sum"), "loss14": roll("loss", 14, "sum"), "atr14": roll("tr", 14),
-    })
+    }
     vr = over_eps(F.col("vr_now"), F.col("vr_base"))
     avg_gain, avg_loss = F.col("gain14") / 14, F.col("loss14") / 14
-    return df.withColumns({
+    ratios = {
         "vr": vr,
         "vr_1": over_eps(F.col("vr1_now"), F.col("vr1_base")),
         "vr_5": over_eps(F.col("vr5_now"), F.col("vr5_base")),
@@ -120,11 +127,12 @@ def with_primitives(panel: DataFrame) -> DataFrame:
         "dkd5": F.col("kd") - F.col("kd_4"),
         "vol_up": clip((vr - 1.0) / 1.0),
         "turn_ratio": over_eps(F.col("tm5"), F.col("tm20_5")),
-    })
+    }
+    return bar, raw, moves, sums, ratios
 
 
-def _parts() -> dict[str, list[Column]]:
-    """Component columns of each rule, in the order of its weights."""
+def _parts(name: str) -> list[Column]:
+    """Component columns of a rule, in the order of its weights."""
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     g = F.col
     cl, vr, kd = g("cl"), g("vr"), g("kd")
@@ -135,100 +143,102 @@ def _parts() -> dict[str, list[Column]]:
     pullback = over_eps(c, g("c5")) - 1.0
     atr = g("atr_pct")
     q = g("turn_ratio")
-    return {
-        "leader_momentum": [
+    rules = {
+        "leader_momentum": lambda: [
             (near[0] + near[1] + near[2]) / 3.0, cl, g("r_up10") / 10,
             clip(g("tm5") / 4.0), clip(vr / 2.0)],
-        "first_board_breakout": [
+        "first_board_breakout": lambda: [
             flag(g("r_max5") < 0.09), flag((g("dph20") >= 0.01) & (g("dph20_1") <= 0.0)), cl,
             flag((vr >= 1.2) & (vr <= 2.5))],
-        "reversal_engulf": [
+        "reversal_engulf": lambda: [
             clip(-_ret(4, 1) / 0.08), clip(-_ret(1, 1) / 0.04),
             clip(F.greatest(F.lit(0.0), c - o) / (F.greatest(F.lit(0.0), g("o1") - g("c1")) + EPS)),
             clip(g("dph5") / 0.03), clip(g("lower_wick") / 0.03), clip((vr - 1.0) / 0.5)],
-        "washout_complete": [
+        "washout_complete": lambda: [
             0.5 * clip((_ret(35) + 0.04) / 0.20) + 0.5 * clip((_slope(35) + 0.02) / 0.16),
             0.55 * clip(-_ret(4, 5) / 0.06) + 0.45 * clip((1.10 - g("vr_5")) / 0.60),
             clip(support / 0.05),
             0.5 * clip((kd + 4.0) / 18.0) + 0.5 * clip(g("dkd5") / 20.0),
             0.55 * cl + 0.45 * clip((_ret(3) + 0.01) / 0.07)],
-        "accumulation_base": [
+        "accumulation_base": lambda: [
             clip((g("range20_10") - g("range10")) / (0.50 * g("range20_10") + EPS)),
             clip((g("pvs10") - 0.50) / 0.25),
             clip((0.20 - over_eps(g("ts10"), g("tm10"))) / 0.20),
             0.70 * clip((g("cl_new") - g("cl_old")) / 0.25) + 0.30 * cl],
-        "platform_breakout": [
+        "platform_breakout": lambda: [
             flag(g("range20_1") <= 0.70 * g("range20_21")),
             flag((g("dph20") >= 0.01) & (g("dph40") >= 0.01)), g("vol_up"),
             clip((0.30 - _ret(20, 1)) / 0.30)],
-        "main_wave_acceleration": [
+        "main_wave_acceleration": lambda: [
             flag(both(_ret(5) >= 0.03, _ret(10) >= 0.05, _ret(20) >= 0.10)),
             flag(both(*[_slope(w) > 0.0 for w in (10, 20, 40)])),
             flag((g("hi10") > g("hi10_10")) & (g("lo10") > g("lo10_10"))),
             flag(((g("r_2") + g("r_1") + g("r1")) / 3.0 > (g("r_9") + g("r_8") + g("r_7")) / 3.0)
                  & (g("r1") > 0.0)),
             F.when(_ret(20) <= 0.20, F.lit(1.0)).otherwise(clip((0.40 - _ret(20)) / 0.20))],
-        "oversold_rebound": [
+        "oversold_rebound": lambda: [
             clip(-g("dd20_1") / 0.15), clip(1.0 - g("pos20_1")),
             0.55 * clip(-_ret(4, 1) / 0.05) + 0.45 * clip((1.10 - g("vr_1")) / 0.70),
             0.40 * clip((30.0 - g("k_min5")) / 20.0) + 0.35 * clip(g("dkd5") / 15.0) + 0.25 * clip(kd / 5.0),
             clip(g("lower_wick") / 0.06),
             0.55 * cl + 0.45 * clip(_ret(3) / 0.06)],
-        "turnover_weak_to_strong": [
+        "turnover_weak_to_strong": lambda: [
             clip(-_ret(20, 5) / 0.15), F.least(clip(q - 1.0), clip(_ret(5) / 0.10)), cl,
             clip(g("hl_span") / 0.12), g("vol_up")],
-        "high_level_consensus": [
+        "high_level_consensus": lambda: [
             flag((_ret(20, 1) >= 0.08) & (_ret(40, 1) >= 0.12)),
             flag(both(_ret(5, 1) >= -0.08, _ret(5, 1) <= 0.05, kd >= -8.0, g("dkd3") >= 0.0)),
             flag(both(_ret(3) >= 0.04, cl >= 0.75, vr >= 1.25)),
             flag(both(g("dph20") >= 0.02, g("upper_wick") <= 0.10, g("hl_span") <= 0.08))],
-        "donchian_turtle": [
+        "donchian_turtle": lambda: [
             clip((g("dph20") + 0.01) / 0.04), clip(_slope(20) / 0.12), g("vol_up"),
             F.when((atr >= 0.015) & (atr <= 0.08), F.lit(1.0)).otherwise(
                 clip(F.when(atr < 0.015, atr / 0.015).otherwise((0.12 - atr) / 0.04)))],
-        "bollinger_squeeze": [
+        "bollinger_squeeze": lambda: [
             clip((0.12 - over_eps(g("std20"), g("mean20"))) / 0.06),
             clip((c - g("mean20")) / (2.0 * g("std20") + EPS) + 0.5),
             clip((g("std5") / (g("std15_5") + EPS) - 1.0) / 1.0), g("vol_up"), cl],
-        "rsi_mean_reversion": [
+        "rsi_mean_reversion": lambda: [
             clip((45.0 - g("rsi14")) / 20.0), clip(-g("dd20") / 0.20),
             clip(0.65 * g("lower_wick") / 0.08 + 0.35 * cl), clip(g("dkd3") / 8.0), clip((3.0 - vr) / 1.5)],
-        "gap_follow_through": [
+        "gap_follow_through": lambda: [
             F.when(gap > 0, clip((gap - 0.005) / 0.055)).otherwise(0.0), cl, g("vol_up"),
             flag((c > g("c1")) & (lo >= g("c1") * 0.985)), clip(1.0 - g("upper_wick") / 0.12)],
-        "pullback_retest": [
+        "pullback_retest": lambda: [
             clip((g("c5") / (g("c15") + EPS) - 1.0) / 0.12),
             F.when(pullback <= 0.02, clip((0.02 - pullback) / 0.10)).otherwise(0.0),
             clip((g("dph20") + 0.08) / 0.06), clip((1.5 - vr) / 0.75), cl],
-        "obv_volume_price": [
+        "obv_volume_price": lambda: [
             clip(_slope(20) / 0.12), clip(g("obv_slope") / 2.0), clip((g("pvs10") - 0.35) / 0.45),
             g("vol_up"), cl],
-        "turnover_regime_switch": [
+        "turnover_regime_switch": lambda: [
             F.least(clip((q - 1.0) / 1.0), clip(_ret(5) / 0.10)),
             F.least(clip(-_ret(3) / 0.08), clip((1.5 - q) / 1.0)), clip(g("dkd3") / 8.0),
             clip(F.abs(q - 1.0) / 0.75)],
-        "relative_strength_rank": [
+        "relative_strength_rank": lambda: [
             clip(_ret(5) / 0.12), clip(_ret(20) / 0.25), clip(_ret(40) / 0.50),
             clip((_slope(20) + _slope(40)) / 2.0 / 0.15), cl],
-        "atr_trend_follow": [
+        "atr_trend_follow": lambda: [
             clip((g("dph20") + 0.02) / 0.05), clip(_slope(20) / 0.15),
             F.when(atr < 0.02, clip((atr - 0.01) / 0.01)).otherwise(clip((0.12 - atr) / 0.04)), cl,
             clip((c - g("lo10")) / (1.5 * g("atr14") + EPS))],
-        "limit_up_retest": [
+        "limit_up_retest": lambda: [
             clip(F.least(g("events"), F.lit(2.0)) / 2.0), event_hold, clip(g("r_max5") / 0.08), g("vol_up"),
             0.65 * cl + 0.35 * clip(1.0 - g("upper_wick") / 0.12)],
     }
+    return rules[name]()
 
 
 def components(name: str) -> dict[str, Column]:
     """Named components of a base rule over a panel with primitives."""
-    return dict(zip(STRATEGIES[name][1], _parts()[name], strict=True))
+    return dict(zip(STRATEGIES[name][1], _parts(name), strict=True))
 
 
+@lru_cache(maxsize=None)
 def score(name: str) -> Column:
     """Weighted score of a base rule; unknown unless the last 60 bars are complete."""
     weights = STRATEGIES[name][1].values()
-    total = reduce(lambda a, b: a + b, [F.lit(w) * p for w, p in zip(weights, _parts()[name], strict=True)])
+    total = reduce(lambda a, b: a + b, [F.lit(w) * p for w, p in zip(weights, _parts(name), strict=True)])
     return F.when(F.col("card_bars") == CARD_BARS, total)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("labels", "rules")
+FAMILIES = ("labels", "rules", "features")
 
 
 def load():

@@ -35,9 +35,9 @@ kd as (
   from kd join rsv r on r.code=kd.code and r.seq=kd.seq+1)"""
 
 
-def label_cte(regime: str, name: str | None = None, source: str = "s") -> str:
+def label_cte(regime: str, name: str | None = None, source: str = "s", spec: tuple | None = None) -> str:
     """Outcomes by self joins: the path, the first exceed, and the low up to it."""
-    h, ret, floor = REGIMES[regime]
+    h, ret, floor = spec or REGIMES[regime]
     n = name or f"lab_{regime}"
     return f"""{n}_e as (select a.code, a.date, a.seq, b.open entry from {source} a
   left join {source} b on b.code=a.code and b.seq=a.seq+1),
@@ -73,3 +73,17 @@ def with_(*parts: str, recursive: bool = True) -> str:
 
 
 GRID = "s.seq>=60 and s.seq%5=0"
+
+
+def dedupe_cte(source: str, name: str, keys: list[str], cooldown: int, clock: str | None = None) -> str:
+    """Greedy cooldown by recursion: from each kept signal to the next one far enough away."""
+    k = "".join(f"{c}," for c in keys)
+    same = "".join(f" and a.{c}=b.{c}" for c in keys)
+    pos = clock or f"dense_rank() over ({'partition by ' + ','.join(keys) if keys else ''} order by date)"
+    return f"""{name}_p as (select *, {pos} pos from {source}),
+{name}_n as (select {''.join(f'a.{c},' for c in keys)} a.code, a.pos, min(b.pos) nxt from {name}_p a
+  left join {name}_p b on b.code=a.code{same} and b.pos>=a.pos+{cooldown} group by all),
+{name}_k as (select {k} code, min(pos) pos from {name}_p group by all
+  union all select {''.join(f'b.{c},' for c in keys)} b.code, b.nxt from {name}_k a join {name}_n b
+  on a.code=b.code{same} and a.pos=b.pos where b.nxt is not null),
+{name} as (select p.* from {name}_p p join {name}_k k using ({k} code, pos))"""
