@@ -46,9 +46,13 @@ def ln_guarded(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
+# Far below the reported digits: moves exact halves off the rounding boundary.
+NUDGE = 3.7e-9
+
+
 def r6(x: Column, digits: int = 6) -> Column:
     """Rounded report value; adding zero turns -0.0 into 0.0."""
-    return F.round(x, digits) + F.lit(0.0)
+    return F.round(x + F.lit(NUDGE), digits) + F.lit(0.0)
 
 
 def known(x: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip, over_eps
 from ..functions.fixed import CROSS_SOURCES, EPS, FEATURE_GROUPS, META_COLUMNS
 from ..functions.windows import back, half_window, roll
+from ..session import staged
 from .context import true_range, with_kdj
 from .grid import row_stride, session_stride
 from .outcomes import close_outcomes, forward_outcomes
@@ -95,16 +96,17 @@ def with_market_features(rows: DataFrame) -> DataFrame:
         "_xy", "_yy", "_mx", "_my", "_mxy", "_myy", "_up")
 
 
-def with_cross_section(rows: DataFrame, sources: dict[str, str] | None = None, **rank_options) -> DataFrame:
+def with_cross_section(rows: DataFrame, sources: dict[str, str] | None = None,
+                       source: DataFrame | None = None, **rank_options) -> DataFrame:
     """Same-session percentile rank and z-score of each source column.
 
     All sources travel in one long table keyed by feature and date. Ranks come from the
     distinct values of each session, so a session of any width is split; means and deviations
-    are one row per feature and date.
+    are one row per feature and date. ``source`` may name a stored table holding the columns.
     """
     sources = sources or CROSS_SOURCES
     cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(c).alias("x")) for n, c in sources.items()])
-    long = rows.select("code", "date", F.explode(cells).alias("_f")).select(
+    long = (rows if source is None else source).select("code", "date", F.explode(cells).alias("_f")).select(
         "code", "date", "_f.feature", "_f.x").filter(F.col("x").isNotNull())
     dist = cumulative(long, ["feature", "date"], ["x"], **rank_options)
     stats = long.groupBy("feature", "date").agg(F.avg("x").alias("_mu"), F.stddev_samp("x").alias("_sd"))
@@ -130,7 +132,9 @@ def feature_matrix(panel: DataFrame, horizon: int = 10, target: float = 0.30, st
     lab = lab.withColumn("resolved", F.col("label_resolved").cast("int")).drop(
         "entry_open", "future_bars", "bars_to_target", "label_strict_low", "label_joint", "label_resolved")
     lab = close_outcomes(lab, horizon, target).drop("entry_state")
-    df = with_cross_section(with_market_features(with_price_features(lab)))
+    # The market series, the rolling beta and the ranks all start from these rows.
+    price = staged(with_price_features(lab))
+    df = with_cross_section(with_market_features(price), source=price)
     features = [f for fs in FEATURE_GROUPS.values() for f in fs]
     keep = [c for c in META_COLUMNS if c in df.columns]
     df = df.select(*keep, *features)

@@ -18,14 +18,24 @@ def grid_rows(panel: DataFrame, stride: int = STRIDE, min_history: int = MIN_HIS
         (F.col("seq") >= min_history) & (F.col("seq") % stride == 0) & (F.col("seq") + 1 >= CARD_BARS))
 
 
+def scored(rows: DataFrame, strategies: Strategies | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Grid bars with one score column per distinct rule; the primitives end here."""
+    todo = strategies or Strategies()
+    return rows.select("code", "date", *keep, *[s.alias(n) for n, s in todo.scores().items()])
+
+
 def decisions(rows: DataFrame, strategies: Strategies | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Long decision table: one row per bar and strategy. An unknown score is an unknown decision."""
+    """Long decision table: one row per bar and strategy. An unknown score is an unknown decision.
+
+    ``rows`` are grid bars with primitives, or already scored ones.
+    """
     todo = strategies or Strategies()
-    scored = rows.select("code", "date", *keep, *[s.alias(n) for n, s in todo.scores().items()])
+    have = all(s in rows.columns for _, s, _ in todo.cutoffs())
+    table = rows if have else scored(rows, todo, keep)
     parts = [
         F.struct(F.lit(n).alias("strategy_id"), F.col(s).alias("score"), F.lit(cut).alias("threshold"))
         for n, s, cut in todo.cutoffs()]
-    out = scored.select("code", "date", *keep, F.explode(F.array(*parts)).alias("_d"))
+    out = table.select("code", "date", *keep, F.explode(F.array(*parts)).alias("_d"))
     return out.select(
         "code", "date", *keep, "_d.strategy_id", "_d.score", "_d.threshold",
         (F.col("_d.score") >= F.col("_d.threshold")).cast("int").alias("prediction"))

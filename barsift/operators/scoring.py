@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import over_eps, price_limit, wilson
 from ..functions.fixed import COOLDOWN, COST_BPS, LIMIT_TOLERANCE, MIN_HISTORY, STRIDE, Z_EXACT
 from ..functions.windows import back
+from ..session import staged
 from .cooldown import dedupe
 from .outcomes import realised_return
 from .ranking import average_rank, cumulative, quantiles
@@ -67,12 +68,16 @@ def date_concentration(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hit_rates(signals: DataFrame, keys: list[str], cooldown: int = COOLDOWN) -> DataFrame:
-    """Raw and de-duplicated hit report per key. Unresolved signals are counted, never scored."""
+    """Raw and de-duplicated hit report per key. Unresolved signals are counted, never scored.
+
+    Signals and events feed several aggregates, so each is written once and read back.
+    """
+    signals = staged(signals.select(
+        *keys, "code", "date", "label_bull", "label_joint", "label_strict_low", "label_resolved"))
     raw_n = signals.groupBy(*keys).agg(
         F.sum((~F.col("label_resolved")).cast("int")).alias("censored_signals"))
     live = signals.filter("label_resolved")
-    events = dedupe(live.select(*keys, "code", "date", "label_bull", "label_joint", "label_strict_low"),
-                    cooldown, keys)
+    events = staged(dedupe(live.drop("label_resolved"), cooldown, keys))
     raw = _block(live, keys, "raw").select(
         *keys, "signals_raw", "bull_hits_raw", "bull_precision_raw")
     deduped = _block(events, keys, "deduped")

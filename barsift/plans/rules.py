@@ -9,6 +9,7 @@ from ..functions.columns import r6
 from ..functions.fixed import REGIMES, SELECTORS, STRATEGIES
 from ..operators import scan, scoring
 from ..operators.grid import scan_grid
+from ..session import staged
 from ..operators.outcomes import long_outcomes, outcomes_by_regime
 from ..operators.strategies import all_names, registry, rule, score
 from ..sources.tables import bars
@@ -200,10 +201,10 @@ def hit_rate_table(spark, folder):
     panel = outcomes_by_regime(bars(spark, folder), PANEL_REGIMES)
     cols = ("label_bull", "label_strict_low", "label_joint", "label_resolved")
     keep = tuple(f"{c}__{r}" for r in PANEL_REGIMES for c in cols)
-    got = scan.emitted(scan.decisions(scan.grid_rows(panel), keep=keep))
+    grid = staged(scan.scored(scan.grid_rows(panel), keep=keep))
+    got = scan.emitted(scan.decisions(grid, keep=keep))
     long = long_outcomes(got, ["strategy_id", "code", "date"], PANEL_REGIMES, cols)
     report = scoring.hit_rates(long, keys).withColumn("population_id", F.lit(scoring.population_id("scanned")))
-    grid = scan_grid(panel)
     base = scoring.base_rates(long_outcomes(grid, ["code", "date"], PANEL_REGIMES, cols), ["regime"])
     out = scoring.with_lift(report, base, ["regime"])
     rates = [c for c in out.columns if "precision" in c or "wilson" in c or "_rate" in c or c in (

@@ -57,7 +57,7 @@ def label_cte(regime: str, name: str | None = None, source: str = "s", spec: tup
 
 
 def r6(x: str, digits: int = 6) -> str:
-    return f"(round(({x})::double,{digits})+0e0)"
+    return f"(round(({x})::double+3.7e-9,{digits})+0e0)"
 
 
 def wilson_sql(hits: str, n: str, z: float = 1.959963984540054) -> tuple[str, str]:
