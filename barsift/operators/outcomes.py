@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import over_eps
 from ..functions.fixed import REGIMES
+from ..session import staged
 from ..functions.windows import back, forward_extreme, seq, span
 
 # Horizons up to this many bars find the first hit inside the window's own array.
@@ -85,7 +86,8 @@ def forward_outcomes(panel: DataFrame, horizon: int, target_return: float | None
             "_fh": F.coalesce("_fh", F.when(F.col("future_bars") < horizon, F.col("_rh"))),
             "_fl": F.coalesce("_fl", F.when(F.col("future_bars") < horizon, F.col("_rl")))})
         df = df.withColumn("_reach", F.coalesce(F.col("_fh") > F.col("_target"), F.lit(False)))
-        df = _first_hit_by_join(df, horizon)
+        # Three sides of the join below read these rows.
+        df = _first_hit_by_join(staged(df), horizon)
         df = df.withColumn("_hit_bars", (F.col("_hit_at") - F.col("_seq")).cast("int"))
     resolved = (F.col("future_bars") >= horizon) & F.col("entry_open").isNotNull()
     entry = F.col("entry_open")
@@ -113,7 +115,9 @@ OUTCOME_COLUMNS = (
 def outcomes_by_regime(panel: DataFrame, regimes: dict | None = None) -> DataFrame:
     """All regimes side by side, each column suffixed ``__regime``; one shuffle on code."""
     out = panel
-    for name, (horizon, target, floor) in (regimes or REGIMES).items():
+    # The longest horizon stages its rows, so it goes first while they are still narrow.
+    for name, (horizon, target, floor) in sorted(
+            (regimes or REGIMES).items(), key=lambda r: -r[1][0]):
         out = forward_outcomes(out, horizon, target_return=target, floor_ratio=floor)
         out = out.withColumnsRenamed({c: f"{c}__{name}" for c in OUTCOME_COLUMNS})
         out = out.withColumn(f"horizon__{name}", F.lit(horizon))

@@ -225,10 +225,10 @@ def concentration(signals: DataFrame, keys: list[str], hit: str = "hit") -> Data
     per_date = signals.groupBy(*keys, "date").agg(
         F.count(ONE).alias("_n"), F.sum(hit).cast("double").alias("_h"))
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    d = per_date.withColumns({"_N": F.sum("_n").over(whole), "_H": F.sum("_h").over(whole)})
+    d = per_date.withColumns({"_tn": F.sum("_n").over(whole), "_th": F.sum("_h").over(whole)})
     d = d.withColumns({
-        "_share": F.col("_n") / F.col("_N"), "_p": F.col("_h") / F.col("_n"),
-        "_loo": ratio(F.col("_H") - F.col("_h"), F.col("_N") - F.col("_n")),
+        "_share": F.col("_n") / F.col("_tn"), "_p": F.col("_h") / F.col("_n"),
+        "_loo": ratio(F.col("_th") - F.col("_h"), F.col("_tn") - F.col("_n")),
         # Ties on the count go to the later date.
         "_busy": F.struct("_n", "date", "_h")})
     got = d.groupBy(*keys).agg(
@@ -237,7 +237,7 @@ def concentration(signals: DataFrame, keys: list[str], hit: str = "hit") -> Data
         F.max("_share").alias("max_date_share"), F.max("_busy").alias("_b"), F.sum("_h").alias("_hits"),
         F.min("_loo").alias("precision_drop_worst_date"), F.max("_loo").alias("precision_drop_best_date"),
         F.avg("_p").alias("mean_daily_precision"),
-        F.avg((F.col("_p") > F.col("_H") / F.col("_N")).cast("int")).alias("share_dates_above_base"))
+        F.avg((F.col("_p") > F.col("_th") / F.col("_tn")).cast("int")).alias("share_dates_above_base"))
     # One row per date: the exact median of a calendar-sized group.
     med = d.groupBy(*keys).agg(F.percentile("_p", 0.5).alias("median_daily_precision"))
     stocks = signals.groupBy(*keys).agg(F.countDistinct("code").alias("n_distinct_stocks"))

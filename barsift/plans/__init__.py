@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("labels", "rules", "features")
+FAMILIES = ("labels", "rules", "features", "selection")
 
 
 def load():
