@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("labels", "rules", "features", "selection")
+FAMILIES = ("labels", "rules", "features", "selection", "research")
 
 
 def load():
