@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .ranking import cumulative, percentile_rank, quantiles, row_numbers
 from .scoring import ratio
 
-ONE = F.lit(1)
 
 
 def top_k(df: DataFrame, k: int, score: str = "score", by: tuple[str, ...] = ("date",)) -> DataFrame:
@@ -41,9 +40,9 @@ def threshold_for_rate(df: DataFrame, rate: float, keys: list[str], score: str =
 
     Read off the running counts of distinct scores, so no rows are sorted on one machine.
     """
-    rows = df.groupBy(*keys).agg(F.count(ONE).alias("rows"), F.count(score).alias("_known"))
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count(score).alias("_known"))
     rows = rows.withColumn("k", F.least(F.col("_known"), F.greatest(
-        ONE, F.bround(F.col("rows") * F.lit(rate)).cast("bigint"))))
+        F.lit(1), F.bround(F.col("rows") * F.lit(rate)).cast("bigint"))))
     dist = cumulative(df.filter(F.col(score).isNotNull()), keys, [score])
     reach = dist.join(rows, keys) if keys else dist.join(F.broadcast(rows))
     return reach.filter(F.col("all_n") - F.col("before_n") >= F.col("k")).groupBy(*keys, "rows", "k").agg(
@@ -52,7 +51,7 @@ def threshold_for_rate(df: DataFrame, rate: float, keys: list[str], score: str =
 
 def matched_rate(df: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """Share of rows that publishes ``k`` per session on average."""
-    return df.groupBy(*keys).agg(F.count(ONE).alias("rows"), F.countDistinct("date").alias("sessions")).withColumn(
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("date").alias("sessions")).withColumn(
         "rate", F.least(F.lit(1.0), F.lit(float(k)) / (F.col("rows") / F.col("sessions"))))
 
 
@@ -72,7 +71,7 @@ def rate_curve(df: DataFrame, counts: list[int], label: str = "y", score: str =
     at = dist.select(
         asked, (F.col("before_n") + 1).alias("n_signals"), "all_n",
         (F.col("before_hits") + F.col("hits")).alias("_h"))
-    return at.filter(F.col("n_signals") == F.greatest(ONE, F.least("asked", "all_n"))).select(
+    return at.filter(F.col("n_signals") == F.greatest(F.lit(1), F.least("asked", "all_n"))).select(
         "asked", "n_signals", (F.col("_h") / F.col("n_signals")).alias("precision"))
 
 
@@ -145,7 +144,7 @@ def session_auc(df: DataFrame, label: str = "y", score: str = "score", **kw) ->
         # One value per session.
         F.percentile("auc", 0.5).alias("median_session_auc"),
         F.avg((F.col("auc") > 0.5).cast("int")).alias("share_sessions_auc_above_half"),
-        F.count(ONE).alias("n_sessions"))
+        F.count(F.lit(1)).alias("n_sessions"))
     return got.join(F.broadcast(pooled))
 
 
@@ -161,7 +160,7 @@ def auc_scan(df: DataFrame, columns: list[str], label: str = "y", **kw) -> DataF
     raw = auc(long, ["feature"], label, "x", **kw).select("feature", "auc")
     ranked = percentile_rank(long, ["feature", "date"], "x", "pct", **kw)
     within = auc(ranked, ["feature"], label, "pct", **kw).select("feature", F.col("auc").alias("auc_within_date_rank"))
-    known = long.groupBy("feature").agg((F.count("x") / F.count(ONE)).alias("finite_share"))
+    known = long.groupBy("feature").agg((F.count("x") / F.count(F.lit(1))).alias("finite_share"))
     return known.join(raw, "feature", "left").join(within, "feature", "left")
 
 
@@ -169,7 +168,7 @@ def feature_health(df: DataFrame, columns: list[str], **kw) -> DataFrame:
     """Rows, coverage, distinct values, mean, deviation and tail quantiles of each feature."""
     long = melt(df, ["code"], columns)
     got = long.groupBy("feature").agg(
-        F.count(ONE).alias("rows"), F.count("x").alias("finite"), (F.count("x") / F.count(ONE)).alias("coverage"),
+        F.count(F.lit(1)).alias("rows"), F.count("x").alias("finite"), (F.count("x") / F.count(F.lit(1))).alias("coverage"),
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     distinct = long.groupBy("feature").agg(F.countDistinct("x").alias("nunique"))
     q = quantiles(long, ["feature"], "x", {"p01": 0.01, "p50": 0.5, "p99": 0.99}, **kw)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources.panel import session_index
 
-ONE = F.lit(1)
 
 # Largest share of a horizon that one session bucket spans in the look-ahead join.
 CANDIDATE_VERSION = "lowzone-tier-v1"
@@ -50,7 +49,7 @@ def label_events(panel: DataFrame, picks: DataFrame, calendar: DataFrame | None
     if "candidate_id" not in picks.columns:
         picks = picks.withColumn("candidate_id", F.concat_ws("|", "code", F.date_format("date", "yyyy-MM-dd")))
     days = session_index(panel if calendar is None else calendar)
-    size = days.agg(F.count(ONE).alias("_size"))
+    size = days.agg(F.count(F.lit(1)).alias("_size"))
     where = days.withColumnRenamed("session_id", "_sid")
     c = picks.select("candidate_id", "code", F.col("date").alias("signal_date")).join(
         where.select(F.col("date").alias("signal_date"), "_sid"), "signal_date", "left").join(F.broadcast(size))
@@ -77,7 +76,7 @@ def label_events(panel: DataFrame, picks: DataFrame, calendar: DataFrame | None
     run = Window.partitionBy("candidate_id").orderBy("_at")
     gap = met.withColumn("_expect", F.col("_sid") + F.row_number().over(run)).filter(
         F.col("_at") != F.col("_expect")).groupBy("candidate_id").agg(F.min("_expect").alias("_gap"))
-    seen = met.groupBy("candidate_id").agg(F.count(ONE).alias("_present"))
+    seen = met.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("_present"))
     c = c.join(event, "candidate_id", "left").join(gap, "candidate_id", "left").join(seen, "candidate_id", "left")
     # Without an inner gap, the first absent session is the one after the last present bar.
     tail = F.col("_sid") + F.coalesce("_present", F.lit(0)) + 1
@@ -132,7 +131,7 @@ def mature_splits(calendar: DataFrame, picks: DataFrame, horizon: int = 504, min
     One row per session: counts of candidates per session and their running sums.
     """
     days = session_index(calendar)
-    counts = picks.groupBy("date").agg(F.count(ONE).alias("_n"))
+    counts = picks.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
     every = Window.partitionBy(F.lit(0))
     past = every.orderBy("session_id")
     d = days.join(counts, "date", "left").withColumns({
@@ -149,6 +148,6 @@ def mature_splits(calendar: DataFrame, picks: DataFrame, horizon: int = 504, min
 def split_support(calendar: DataFrame, splits: DataFrame, horizon: int) -> DataFrame:
     """Calendar length, the least it would need, and how many legal splits it has."""
     a = calendar.agg(F.countDistinct("date").alias("calendar_sessions"))
-    b = splits.agg(F.count(ONE).alias("n_legal_splits"), F.min("dev_start").alias("first_dev_start"))
+    b = splits.agg(F.count(F.lit(1)).alias("n_legal_splits"), F.min("dev_start").alias("first_dev_start"))
     return a.join(F.broadcast(b)).withColumns({
         "horizon": F.lit(horizon), "minimum_sessions": F.lit(minimum_sessions(horizon))})

@@ -14,7 +14,6 @@ from ..sources.panel import session_index
 from .ranking import row_numbers
 from .scoring import ratio
 
-ONE = F.lit(1)
 
 
 def date_totals(rows: DataFrame, calendar: DataFrame, sums: dict[str, Column]) -> DataFrame:
@@ -26,7 +25,7 @@ def date_totals(rows: DataFrame, calendar: DataFrame, sums: dict[str, Column]) -
 def replicates(totals: DataFrame, names: list[str], n_boot: int, seed: int = 0, block: int = 1) -> DataFrame:
     """Totals of each bootstrap replicate: dates (or cyclic runs of ``block`` dates) drawn anew."""
     spark = totals.sparkSession
-    size = totals.agg(F.count(ONE).alias("_n"))
+    size = totals.agg(F.count(F.lit(1)).alias("_n"))
     slots = spark.range(n_boot).withColumnRenamed("id", "rep").join(F.broadcast(size))
     drawn = slots.select("rep", "_n", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.ceil(F.col("_n") / block).cast("bigint") - 1)).alias("slot"))
@@ -42,7 +41,7 @@ def replicates(totals: DataFrame, names: list[str], n_boot: int, seed: int = 0,
 def date_bootstrap(rows: DataFrame, calendar: DataFrame, hit: str = "hit", n_boot: int = 4000, seed: int = 0,
                    level: float = 0.95, block: int = 1) -> DataFrame:
     """Precision with an interval that treats a market date, not a signal, as the unit."""
-    totals = date_totals(rows, calendar, {"h": F.sum(hit), "c": F.count(ONE)})
+    totals = date_totals(rows, calendar, {"h": F.sum(hit), "c": F.count(F.lit(1))})
     reps = replicates(totals, ["h", "c"], n_boot, seed, block).withColumn("p", ratio("h", "c"))
     a = (1.0 - level) / 2.0
     # One row per replicate.
@@ -50,7 +49,7 @@ def date_bootstrap(rows: DataFrame, calendar: DataFrame, hit: str = "hit", n_boo
         F.percentile("p", a).alias("ci_low"), F.percentile("p", 1 - a).alias("ci_high"),
         F.avg("p").alias("boot_mean"), F.stddev_pop("p").alias("boot_sd"))
     point = totals.agg(
-        F.sum("c").cast("bigint").alias("n_signals"), F.count(ONE).alias("n_dates"), F.sum("h").alias("_h"))
+        F.sum("c").cast("bigint").alias("n_signals"), F.count(F.lit(1)).alias("n_dates"), F.sum("h").alias("_h"))
     return point.withColumn("precision", ratio("_h", "n_signals")).drop("_h").join(F.broadcast(boot)).withColumns({
         "block": F.lit(block), "n_boot": F.lit(n_boot), "level": F.lit(level)})
 
@@ -68,7 +67,7 @@ def paired_bootstrap(rows: DataFrame, calendar: DataFrame, in_a: str, in_b: str,
     boot = reps.agg(
         F.percentile("d", q).alias("ci_low"), F.percentile("d", 1 - q).alias("ci_high"), F.avg("d").alias("boot_mean"),
         F.stddev_pop("d").alias("boot_sd"), F.avg((F.col("d") > 0).cast("int")).alias("share_draws_a_better"))
-    point = totals.agg(*[F.sum(n).alias(n) for n in names], F.count(ONE).alias("n_dates"))
+    point = totals.agg(*[F.sum(n).alias(n) for n in names], F.count(F.lit(1)).alias("n_dates"))
     out = point.join(F.broadcast(boot)).withColumns({
         "n_signals_a": F.col("ca").cast("bigint"), "n_signals_b": F.col("cb").cast("bigint"),
         "precision_a": ratio("ha", "ca"), "precision_b": ratio("hb", "cb")})
@@ -103,11 +102,11 @@ def contrast(rows: DataFrame, calendar: DataFrame, arm: str, label: str = "y", n
 
 def clustered_z(rows: DataFrame, null_rate: float, label: str = "y") -> DataFrame:
     """Distance of a rate from a null value in row, date-cluster and date-equal-weight units."""
-    per = rows.groupBy("date").agg(F.count(ONE).alias("n"), F.sum(label).cast("double").alias("h"))
+    per = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("double").alias("h"))
     p0 = F.lit(null_rate)
     res = F.col("h") - p0 * F.col("n")
     got = per.agg(
-        F.sum("n").alias("n"), F.sum("h").alias("hits"), F.count(ONE).alias("dates"),
+        F.sum("n").alias("n"), F.sum("h").alias("hits"), F.count(F.lit(1)).alias("dates"),
         F.sum(res).alias("_r"), F.sum(res * res).alias("_rr"),
         F.avg(F.col("h") / F.col("n")).alias("_m"), F.stddev_samp(F.col("h") / F.col("n")).alias("_s"))
     return got.select(
@@ -134,7 +133,7 @@ def hypergeometric(total: DataFrame, draws: list[int]) -> DataFrame:
     k = F.explode(F.array(*[F.lit(d) for d in draws])).alias("k")
     at = total.select("n", "pos", k).filter(F.col("k") <= F.col("n"))
     p = F.col("pos") / F.col("n")
-    sd = F.sqrt(p * (1 - p) / F.col("k") * (F.col("n") - F.col("k")) / F.greatest(F.col("n") - 1, ONE))
+    sd = F.sqrt(p * (1 - p) / F.col("k") * (F.col("n") - F.col("k")) / F.greatest(F.col("n") - 1, F.lit(1)))
     out = at.withColumns({"mean": p, "sd": sd})
     return out.withColumns({
         f"best_of_{m}": F.col("mean") + F.col("sd") * F.sqrt(2 * F.ln(F.lit(float(m)))) for m in (10, 100, 1000)})
@@ -176,7 +175,7 @@ def selection_budget(rows: DataFrame, configs: list[int], n_draws: int = 2000, s
     """Best of many chance results: mean and upper quantile of the maximum of K normal draws,
     scaled by the sampling error of the table's own rate."""
     spark = rows.sparkSession
-    base = rows.agg(F.avg(label).alias("_p"), F.count(ONE).alias("_n"))
+    base = rows.agg(F.avg(label).alias("_p"), F.count(F.lit(1)).alias("_n"))
     grid = spark.range(n_draws).select(F.col("id").alias("draw"), F.explode(F.array(*[F.lit(k) for k in configs])).alias("configs"))
     normals = grid.select("draw", "configs", F.explode(F.sequence(F.lit(1), F.col("configs"))).alias("i"))
 
@@ -190,3 +189,28 @@ def selection_budget(rows: DataFrame, configs: list[int], n_draws: int = 2000, s
     return got.join(F.broadcast(base)).select(
         "configs", "mean_best_z", "p95_best_z", F.col("_p").alias("rate"),
         (F.col("_p") + F.col("mean_best_z") * se).alias("best_rate_by_chance"))
+
+
+def arm_z(rows: DataFrame, arm: str, label: str = "y") -> DataFrame:
+    """Two arms compared with rows, market dates, and equally weighted shared dates as the unit."""
+    m = F.col(arm).cast("int")
+    per = rows.groupBy("date").agg(
+        F.sum(m).cast("double").alias("na"), F.sum(m * F.col(label)).cast("double").alias("ha"),
+        F.sum(1 - m).cast("double").alias("nb"), F.sum((1 - m) * F.col(label)).cast("double").alias("hb"))
+    tot = per.agg(*[F.sum(c).alias(f"t{c}") for c in ("na", "ha", "nb", "hb")])
+    d = per.join(F.broadcast(tot)).withColumns({"pa": F.col("tha") / F.col("tna"), "pb": F.col("thb") / F.col("tnb")})
+    both = (F.col("na") > 0) & (F.col("nb") > 0)
+    ra, rb = F.when(both, F.col("ha") / F.col("na")), F.when(both, F.col("hb") / F.col("nb"))
+    ea, eb = F.col("ha") - F.col("pa") * F.col("na"), F.col("hb") - F.col("pb") * F.col("nb")
+    got = d.agg(
+        F.max("tna").alias("n_a"), F.max("tnb").alias("n_b"), F.max("pa").alias("rate_a"), F.max("pb").alias("rate_b"),
+        F.max((F.col("tha") + F.col("thb")) / (F.col("tna") + F.col("tnb"))).alias("_p"),
+        F.sqrt(F.max(1 / F.col("tna") + 1 / F.col("tnb"))).alias("_k"),
+        F.sqrt(F.sum(ea * ea) / F.max(F.col("tna") * F.col("tna")) + F.sum(eb * eb) / F.max(F.col("tnb") * F.col("tnb"))).alias("_sc"),
+        F.avg(ra).alias("_ma"), F.avg(rb).alias("_mb"),
+        F.sqrt(F.var_samp(ra) / F.count(ra) + F.var_samp(rb) / F.count(rb)).alias("_sd"), F.count(ra).alias("shared_dates"))
+    delta = F.col("rate_a") - F.col("rate_b")
+    return got.select(
+        "n_a", "n_b", "rate_a", "rate_b", "shared_dates",
+        ratio(delta, F.sqrt(F.col("_p") * (1 - F.col("_p"))) * F.col("_k")).alias("z_row"), ratio(delta, F.col("_sc")).alias("z_cluster"),
+        ratio(F.col("_ma") - F.col("_mb"), F.col("_sd")).alias("z_date_equal"))

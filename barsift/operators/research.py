@@ -13,7 +13,6 @@ from .context import true_range
 from .crosssec import melt
 from .ranking import cumulative, quantiles
 
-ONE = F.lit(1)
 
 
 def with_volume_pressure(panel: DataFrame, windows: tuple[int, ...] = (5, 20)) -> DataFrame:
@@ -121,7 +120,7 @@ def auxiliary_targets(panel: DataFrame) -> DataFrame:
 def auxiliary_split(sessions: DataFrame, dev_fraction: float = 0.2, embargo: int = 5) -> DataFrame:
     """One row: last training session, first and last development session."""
     days = sessions.select("session_id").distinct()
-    n = F.count(ONE)
+    n = F.count(F.lit(1))
     dev = F.greatest(F.lit(20), F.bround(n * dev_fraction).cast("bigint"))
     at = days.agg(n.alias("n"), dev.alias("_dev"), F.sort_array(F.collect_list("session_id")).alias("_u"))
     # The array holds the calendar, one value per session.
@@ -167,7 +166,7 @@ def family_ecdf(train: DataFrame, rows: DataFrame, families: dict[str, str], **k
     named = {f: F.col(c) for f, c in families.items()}
     t = melt(train.select("code", *[c.alias(f) for f, c in named.items()]), ["code"], cols).filter("x is not null")
     r = melt(rows.select("code", "date", *[c.alias(f) for f, c in named.items()]), ["code", "date"], cols)
-    merged = t.select("feature", "x", ONE.alias("_t")).unionByName(
+    merged = t.select("feature", "x", F.lit(1).alias("_t")).unionByName(
         r.filter("x is not null").select("feature", "x", F.lit(0).alias("_t")))
     dist = cumulative(merged, ["feature"], ["x"], {"train": F.sum("_t")}, **kw)
     share = dist.select("feature", "x", F.when(

@@ -13,7 +13,6 @@ from .cooldown import dedupe
 from .outcomes import realised_return
 from .ranking import average_rank, cumulative, quantiles
 
-ONE = F.lit(1)
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
@@ -29,7 +28,7 @@ def base_rates(rows: DataFrame, keys: list[str], population: str = "scanned",
                stride: int = STRIDE, min_history: int = MIN_HISTORY) -> DataFrame:
     """Natural rates over the resolved rows of a population, stamped with its id."""
     got = rows.filter("label_resolved").groupBy(*keys).agg(
-        F.count(ONE).alias("evaluated_points"), F.sum("label_bull").alias("bull"),
+        F.count(F.lit(1)).alias("evaluated_points"), F.sum("label_bull").alias("bull"),
         F.sum("label_joint").alias("joint"), F.avg("label_strict_low").alias("strict_low_rate"),
         F.min("date").alias("date_min"), F.max("date").alias("date_max"))
     return got.withColumns({
@@ -46,7 +45,7 @@ def tier_rates(rows: DataFrame, tier: str = "recall_tier", top: int = 5) -> list
 
 def _block(rows: DataFrame, keys: list[str], suffix: str) -> DataFrame:
     got = rows.groupBy(*keys).agg(
-        F.count(ONE).alias(f"signals_{suffix}"),
+        F.count(F.lit(1)).alias(f"signals_{suffix}"),
         F.sum(F.coalesce("label_bull", F.lit(0))).alias(f"bull_hits_{suffix}"),
         F.sum(F.coalesce("label_joint", F.lit(0))).alias(f"joint_hits_{suffix}"),
         F.sum(F.coalesce("label_strict_low", F.lit(0))).alias(f"_low_{suffix}"),
@@ -60,7 +59,7 @@ def _block(rows: DataFrame, keys: list[str], suffix: str) -> DataFrame:
 
 def date_concentration(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of squared date shares; 1 means everything happened on one date."""
-    per_date = rows.groupBy(*keys, "date").agg(F.count(ONE).alias("_n"))
+    per_date = rows.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("_n"))
     got = per_date.groupBy(*keys).agg(
         F.sum(F.col("_n").cast("double") * F.col("_n")).alias("_sq"), F.sum("_n").alias("_all"))
     return got.select(*keys, (F.col("_sq") / (F.col("_all").cast("double") * F.col("_all"))).alias(
@@ -121,7 +120,7 @@ def tradeability_report(audited: DataFrame, key: str = "strategy_id") -> DataFra
     live = F.col("label_resolved")
     hit = F.coalesce(F.col("label_bull") == 1, F.lit(False))
     got = audited.rollup(key).agg(
-        F.count(ONE).alias("signals_raw"), total(live).alias("signals"), total(~live).alias("censored"),
+        F.count(F.lit(1)).alias("signals_raw"), total(live).alias("signals"), total(~live).alias("censored"),
         total(live & hit).alias("hits"), total(live & F.col("unfillable")).alias("unfillable"),
         total(live & F.col("one_word_limit")).alias("one_word_limit"),
         total(live & F.col("open_at_limit")).alias("gapped_at_limit"),
@@ -140,7 +139,7 @@ def holding_report(signals: DataFrame, panel: DataFrame, horizon: int, keys: lis
     got = signals.join(realised_return(panel, horizon), ["code", "date"], "left")
     net = F.col("return_h") - cost
     means = got.groupBy(*keys).agg(
-        F.count(ONE).alias("signals"), F.count("return_h").alias("resolved"),
+        F.count(F.lit(1)).alias("signals"), F.count("return_h").alias("resolved"),
         F.avg("return_h").alias("gross_mean_return"), F.avg(net).alias("net_mean_return"),
         F.avg((net > 0).cast("int")).alias("net_win_rate"))
     q = quantiles(got, keys, "return_h", {"_p10": 0.10, "_p50": 0.50, "_p90": 0.90})
@@ -160,7 +159,7 @@ def expectancy_report(signals: DataFrame, panel: DataFrame, horizon: int, target
     r = F.col("return_h")
     net = r - cost
     means = got.groupBy(*keys).agg(
-        F.count(ONE).alias("signals"), F.avg(hit.cast("int")).alias("hit_rate"),
+        F.count(F.lit(1)).alias("signals"), F.avg(hit.cast("int")).alias("hit_rate"),
         F.avg(net).alias("net_expectancy"), F.avg((net > 0).cast("int")).alias("net_win_rate"),
         F.avg(F.when(hit, F.lit(target) - cost).otherwise(net)).alias("net_expectancy_at_target"),
         F.avg(F.when(hit, r)).alias("mean_return_if_hit"), F.avg(F.when(~hit, r)).alias("mean_return_if_miss"),
@@ -175,7 +174,7 @@ def spearman(df: DataFrame, group: list[str], a: str, b: str, out: str = "rho")
     for c in (a, b):
         ranks = cumulative(rows, group, [c])
         rows = rows.join(ranks.select(*group, c, average_rank(ranks).alias(f"_rank_{c}")), [*group, c])
-    return rows.groupBy(*group).agg(F.corr(f"_rank_{a}", f"_rank_{b}").alias(out), F.count(ONE).alias("n"))
+    return rows.groupBy(*group).agg(F.corr(f"_rank_{a}", f"_rank_{b}").alias(out), F.count(F.lit(1)).alias("n"))
 
 
 def confusion(scored: DataFrame, keys: list[str], predicted: str = "prediction", actual: str = "actual",
@@ -223,7 +222,7 @@ def disagreement(decisions: DataFrame, sample: list[str], names: list[str]) -> D
 def concentration(signals: DataFrame, keys: list[str], hit: str = "hit") -> DataFrame:
     """How much of a result hangs on few dates, from one row per date."""
     per_date = signals.groupBy(*keys, "date").agg(
-        F.count(ONE).alias("_n"), F.sum(hit).cast("double").alias("_h"))
+        F.count(F.lit(1)).alias("_n"), F.sum(hit).cast("double").alias("_h"))
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
     d = per_date.withColumns({"_tn": F.sum("_n").over(whole), "_th": F.sum("_h").over(whole)})
     d = d.withColumns({
@@ -232,7 +231,7 @@ def concentration(signals: DataFrame, keys: list[str], hit: str = "hit") -> Data
         # Ties on the count go to the later date.
         "_busy": F.struct("_n", "date", "_h")})
     got = d.groupBy(*keys).agg(
-        F.sum("_n").alias("n_signals"), F.count(ONE).alias("n_distinct_dates"),
+        F.sum("_n").alias("n_signals"), F.count(F.lit(1)).alias("n_distinct_dates"),
         F.sum(F.col("_share") * F.col("_share")).alias("herfindahl_dates"),
         F.max("_share").alias("max_date_share"), F.max("_busy").alias("_b"), F.sum("_h").alias("_hits"),
         F.min("_loo").alias("precision_drop_worst_date"), F.max("_loo").alias("precision_drop_best_date"),
@@ -254,7 +253,7 @@ def concentration(signals: DataFrame, keys: list[str], hit: str = "hit") -> Data
 
 def by_date(rows: DataFrame, calendar: DataFrame | None = None, hit: str = "hit") -> DataFrame:
     """Signals and hits of every market date; calendar dates without a signal count as zero."""
-    got = rows.groupBy("date").agg(F.count(ONE).alias("n"), F.sum(hit).alias("hits"))
+    got = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"))
     if calendar is None:
         return got
     return calendar.select("date").distinct().join(got, "date", "left").na.fill(0, ["n", "hits"])
@@ -281,7 +280,7 @@ def pool_folds(folds: DataFrame, keys: list[str]) -> DataFrame:
     """
     ok = folds.filter("signals > 0 and precision is not null")
     got = ok.groupBy(*keys).agg(
-        F.count(ONE).alias("n_folds"), F.sum("signals").alias("oos_signals"),
+        F.count(F.lit(1)).alias("n_folds"), F.sum("signals").alias("oos_signals"),
         F.sum(F.col("precision") * F.col("signals")).alias("_hits"),
         F.sum("positives").alias("_pos"), F.sum("n_test").alias("_rows"),
         F.sum(F.col("base_rate") * F.col("signals")).alias("_bs"),
@@ -302,5 +301,5 @@ def weighted_precision(folds: DataFrame, keys: list[str]) -> DataFrame:
     """Signal-weighted mean precision over folds that have one."""
     ok = folds.filter("signals > 0 and precision is not null")
     return ok.groupBy(*keys).agg(
-        F.sum("signals").alias("n_signals"), F.count(ONE).alias("n_folds"),
+        F.sum("signals").alias("n_signals"), F.count(F.lit(1)).alias("n_folds"),
         (F.sum(F.col("precision") * F.col("signals")) / F.sum("signals")).alias("precision"))

@@ -9,7 +9,6 @@ from ..sources.panel import session_index
 from .crosssec import top_k
 from .scoring import ratio
 
-ONE = F.lit(1)
 
 
 def folds(rows: DataFrame, n_folds: int = 5, horizon: int = 10, embargo: int = 2,
@@ -25,7 +24,7 @@ def folds(rows: DataFrame, n_folds: int = 5, horizon: int = 10, embargo: int = 2
         days = days.filter(F.col("date") < F.lit(holdout_start).cast("date"))
     idx = session_index(days)
     everyone = Window.partitionBy(F.lit(0))
-    usable = F.count(ONE).over(everyone) - min_train_sessions
+    usable = F.count(F.lit(1)).over(everyone) - min_train_sessions
     placed = idx.withColumn("_u", usable).filter(F.col("_u") >= n_folds)
     blocks = placed.select("date", "session_id", "_u", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold"))
     start = F.lit(min_train_sessions) + F.floor(F.col("fold") * F.col("_u") / n_folds)
@@ -44,7 +43,7 @@ def fold_rows(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def fold_summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("fold", "role").agg(
-        F.count(ONE).alias("sessions"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+        F.count(F.lit(1)).alias("sessions"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 def purge_by_label_end(rows: DataFrame, cutoff: str, horizon: int) -> DataFrame:
@@ -65,15 +64,15 @@ def boundary_leaks(rows: DataFrame, cutoff: str, horizon: int) -> DataFrame:
     first_test = idx.filter(F.col("date") >= F.lit(cutoff).cast("date")).agg(F.min("session_id").alias("_first"))
     ends = marked.join(idx, "date").join(F.broadcast(first_test))
     return ends.filter("role <> 'test'").groupBy("role").agg(
-        F.count(ONE).alias("rows"),
+        F.count(F.lit(1)).alias("rows"),
         F.sum((F.col("session_id") + horizon >= F.col("_first")).cast("int")).alias("label_end_in_test"))
 
 
 def fold_precision(scored: DataFrame, picks: DataFrame, keys: list[str], label: str = "y") -> DataFrame:
     """Per fold: test rows, positives, base rate, and the signals and precision of the picks."""
     base = scored.groupBy(*keys).agg(
-        F.count(ONE).alias("n_test"), F.sum(label).alias("positives"), F.avg(label).alias("base_rate"))
-    got = picks.groupBy(*keys).agg(F.count(ONE).alias("signals"), F.avg(label).alias("precision"))
+        F.count(F.lit(1)).alias("n_test"), F.sum(label).alias("positives"), F.avg(label).alias("base_rate"))
+    got = picks.groupBy(*keys).agg(F.count(F.lit(1)).alias("signals"), F.avg(label).alias("precision"))
     return base.join(got, keys, "left").na.fill(0, ["signals"])
 
 
@@ -86,17 +85,17 @@ def choose_k(train: DataFrame, k_grid: list[int], n_folds: int = 3, purge: int =
     no eligible K the fallback is returned.
     """
     idx = session_index(train)
-    n = F.count(ONE).over(Window.partitionBy(F.lit(0)))
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
     blocks = idx.withColumn("_n", n).withColumn("block", F.least(
         F.lit(n_folds - 1), F.ceil((F.col("session_id") + 1) * n_folds / F.col("_n")) - 1))
     start = F.floor(F.col("block") * F.col("_n") / n_folds)
     voters = blocks.filter(start - purge >= min_train).select("date", "block")
     rows = train.join(voters, "date")
-    enough = rows.groupBy("block").agg(F.count(ONE).alias("_rows")).filter(F.col("_rows") >= min_rows).select("block")
+    enough = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= min_rows).select("block")
     ranked = top_k(rows.join(enough, "block"), max(k_grid), score)
     per = ranked.select(F.explode(F.array(*[F.lit(k) for k in k_grid])).alias("k"), "rank", label).filter(
         F.col("rank") < F.col("k")).groupBy("k").agg(
-        F.count(ONE).alias("n_signals"), F.avg(label).alias("precision"))
+        F.count(F.lit(1)).alias("n_signals"), F.avg(label).alias("precision"))
     best = per.filter(F.col("n_signals") >= min_signals).agg(
         F.max(F.struct("precision", (-F.col("k")).alias("_k"), "n_signals")).alias("_b"))
     return best.select(
