@@ -7,7 +7,7 @@ every stage between fit and report stays a table.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -64,7 +64,12 @@ def pipeline(cfg: Config) -> Pipeline:
 
 
 def fit_scores(train: DataFrame, rows: DataFrame, cfg: Config) -> DataFrame:
-    """Rows with the ``score`` of a model fitted on the training rows."""
+    """Rows with the ``score`` of a model fitted on the training rows.
+
+    A feature without a single known training value carries nothing and is left out.
+    """
+    seen = train.agg(*[F.count(c).alias(c) for c in cfg.features]).first()
+    cfg = replace(cfg, features=tuple(c for c in cfg.features if seen[c] > 0))
     model = pipeline(cfg).fit(train.withColumn("_y", F.col(cfg.label).cast("double")))
     scored = model.transform(rows)
     return scored.withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
