@@ -77,9 +77,10 @@ def forward_extreme(df: DataFrame, out: dict[str, tuple[str, str]], window: int)
 # One block of a weighted running sum spans at most this many natural-log units of decay.
 _BLOCK_DECAY = 600.0
 
+Specs = dict[str, tuple[str, float, float | None, int]]
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str, float, float | None, int]],
-        gaps: bool = False) -> DataFrame:
+
+def ewm(df: DataFrame, specs: Specs, gaps: bool = False) -> DataFrame:
     """Exponentially weighted means as weighted running sums, exact to rounding.
 
     ``specs`` maps a new column to ``(source, alpha, start, least)``. With a start value the
@@ -92,61 +93,58 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float, float | None, int]],
     product of ``a``. Blocks bound the exponent, and the value at the end of the previous
     block carries over; anything older has decayed below the precision of a double.
     """
-    to_now = by_code().rowsBetween(Window.unboundedPreceding, 0)
-    before = by_code().rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_p", seq())
     if gaps:
-        df = df.withColumns({
-            f"_prev_{o}": F.max(F.when(F.col(c).isNotNull(), F.col("_p"))).over(before)
-            for o, (c, _, _, _) in specs.items()})
-    steps = {}
+        for out, spec in specs.items():
+            df = _ewm_with_gaps(df, out, *spec)
+        return df
+    decay = {o: math.log(1.0 - alpha) for o, (_, alpha, _, _) in specs.items()}
+    size = max(1, int(_BLOCK_DECAY / max(-d for d in decay.values())))
+    # Block, then date: the same order as by date alone, shared by both windows below.
+    df = df.withColumn("_p", seq()).withColumn("_b", F.floor(F.col("_p") / size))
+    inside = Window.partitionBy("code", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("code").orderBy("_b", "date").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_p") - F.col("_b") * size
+    local = {}
     for o, (c, alpha, start, _) in specs.items():
-        lq = math.log(1.0 - alpha)
-        x = F.col(c)
-        if gaps:
-            gap = (F.col("_p") - F.col(f"_prev_{o}")).cast("double")
-            aged = F.exp(gap * lq)
-            first = F.col(f"_prev_{o}").isNull()
-            steps[f"_l_{o}"] = F.when(x.isNull() | first, F.lit(0.0)).otherwise(
-                gap * lq - F.ln(aged + alpha))
-            steps[f"_w_{o}"] = F.when(x.isNull(), F.lit(0.0)).when(first, x).otherwise(
-                x * alpha / (aged + alpha))
-        elif start is None:
-            steps[f"_l_{o}"] = F.when(F.col("_p") == 0, F.lit(0.0)).otherwise(F.lit(lq))
-            steps[f"_w_{o}"] = F.when(F.col("_p") == 0, x).otherwise(x * alpha)
-        else:
-            steps[f"_l_{o}"] = F.lit(lq)
-            steps[f"_w_{o}"] = x * alpha + F.when(
-                F.col("_p") == 0, F.lit(start * (1.0 - alpha))).otherwise(F.lit(0.0))
-    df = df.withColumns(steps)
-    if gaps:
-        df = df.withColumns({f"_c_{o}": F.sum(f"_l_{o}").over(to_now) for o in specs})
-    else:
-        df = df.withColumns({
-            f"_c_{o}": (F.col("_p") + (1 if start is not None else 0)) * math.log(1.0 - alpha)
-            for o, (_, alpha, start, _) in specs.items()})
-    df = df.withColumns({
-        f"_b_{o}": F.floor(-F.col(f"_c_{o}") / _BLOCK_DECAY) for o in specs})
-    for o in specs:
-        inside = Window.partitionBy("code", f"_b_{o}").orderBy("date").rowsBetween(
-            Window.unboundedPreceding, 0)
-        rest = F.col(f"_c_{o}") + F.col(f"_b_{o}") * _BLOCK_DECAY
-        df = df.withColumn(f"_e_{o}", F.exp(rest) * F.sum(
-            F.col(f"_w_{o}") * F.exp(-rest)).over(inside))
-    df = df.withColumns({
-        f"_n_{o}": F.lead(f"_b_{o}").over(by_code()) for o in specs})
+        first = F.col(c) if start is None else F.col(c) * alpha + start * (1.0 - alpha)
+        weight = F.when(F.col("_p") == 0, first).otherwise(F.col(c) * alpha)
+        local[f"_e_{o}"] = F.exp(at * decay[o]) * F.sum(weight * F.exp(-at * decay[o])).over(inside)
+    df = df.withColumns(local)
     df = df.withColumns({
-        f"_z_{o}": F.last(
-            F.when(F.col(f"_n_{o}") != F.col(f"_b_{o}"),
-                   F.struct(F.col(f"_e_{o}").alias("e"), F.col(f"_c_{o}").alias("c"))),
-            ignorenulls=True).over(before)
-        for o in specs})
+        f"_z_{o}": F.last(F.when(at == size - 1, F.col(f"_e_{o}")), ignorenulls=True).over(before) for o in specs})
     done = {}
-    for o, (c, _, start, least) in specs.items():
-        carried = F.coalesce(
-            F.col(f"_z_{o}.e") * F.exp(F.col(f"_c_{o}") - F.col(f"_z_{o}.c")), F.lit(0.0))
-        seen = F.count(c).over(to_now)
-        done[o] = F.when(seen >= max(least, 1), F.col(f"_e_{o}") + carried)
-    df = df.withColumns(done)
-    scratch = [f"_{k}_{o}" for k in ("prev", "l", "w", "c", "b", "e", "n", "z") for o in specs]
-    return df.drop("_p", *scratch)
+    for o, (_, _, _, least) in specs.items():
+        carried = F.coalesce(F.col(f"_z_{o}") * F.exp((at + 1) * decay[o]), F.lit(0.0))
+        done[o] = F.when(F.col("_p") + 1 >= least, F.col(f"_e_{o}") + carried)
+    return df.withColumns(done).drop("_p", "_b", *local, *[f"_z_{o}" for o in specs])
+
+
+def _ewm_with_gaps(df: DataFrame, out: str, source: str, alpha: float, start: float | None, least: int) -> DataFrame:
+    """One mean over a source with unknown values; the decay between rows varies with the gap."""
+    if start is not None:
+        raise ValueError("a start value needs a source without gaps")
+    to_now = by_code().rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(source)
+    decay = math.log(1.0 - alpha)
+    df = df.withColumn("_p", seq())
+    df = df.withColumn("_prev", F.max(F.when(x.isNotNull(), F.col("_p"))).over(
+        by_code().rowsBetween(Window.unboundedPreceding, -1)))
+    gap = (F.col("_p") - F.col("_prev")).cast("double")
+    aged = F.exp(gap * decay)
+    opens = F.col("_prev").isNull()
+    df = df.withColumns({
+        "_l": F.when(x.isNull() | opens, F.lit(0.0)).otherwise(gap * decay - F.ln(aged + alpha)),
+        "_w": F.when(x.isNull(), F.lit(0.0)).when(opens, x).otherwise(x * alpha / (aged + alpha))})
+    df = df.withColumns({"_c": F.sum("_l").over(to_now), "_seen": F.count(x).over(to_now)})
+    df = df.withColumn("_b", F.floor(-F.col("_c") / _BLOCK_DECAY))
+    inside = Window.partitionBy("code", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy("code").orderBy("_b", "date")
+    rest = F.col("_c") + F.col("_b") * _BLOCK_DECAY
+    df = df.withColumn("_e", F.exp(rest) * F.sum(F.col("_w") * F.exp(-rest)).over(inside))
+    df = df.withColumn("_next", F.lead("_b").over(ordered))
+    df = df.withColumn("_z", F.last(
+        F.when(F.col("_next") != F.col("_b"), F.struct(F.col("_e").alias("e"), F.col("_c").alias("c"))),
+        ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = F.coalesce(F.col("_z.e") * F.exp(F.col("_c") - F.col("_z.c")), F.lit(0.0))
+    return df.withColumn(out, F.when(F.col("_seen") >= max(least, 1), F.col("_e") + carried)).drop(
+        "_p", "_prev", "_l", "_w", "_c", "_seen", "_b", "_e", "_next", "_z")

@@ -20,7 +20,8 @@ def cumulative(df: DataFrame, group: list[str], order: list[str], sums: dict[str
     entry of ``sums``, ``before_*`` (total of smaller positions) and ``all_*`` (total of the
     group). Equal positions are combined before the shuffle. A large group is cut at positions
     chosen by a hash of the position itself, so every run and every retry cuts alike; each
-    range is then summed on its own and the ranges' totals are added up.
+    range is then summed on its own and the ranges' totals are added up. When no group is that
+    large, one window does.
     """
     sums = {"n": F.count(F.lit(1)), **(sums or {})}
     names = list(sums)
@@ -30,6 +31,10 @@ def cumulative(df: DataFrame, group: list[str], order: list[str], sums: dict[str
     cells = df.groupBy(*keys, *order).agg(*[s.alias(n) for n, s in sums.items()])
     if stage:
         cells = staged(cells)
+        # The stored cells tell whether any group needs splitting at all.
+        widest = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0] or 0
+        if widest <= split_rows:
+            return _one_range(cells, group, keys, order, names)
     spot = F.struct(*order)
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     big = sizes.filter(F.col("_size") > split_rows)
@@ -56,6 +61,16 @@ def cumulative(df: DataFrame, group: list[str], order: list[str], sums: dict[str
         *[f"all_{n}" for n in names])
 
 
+def _one_range(cells: DataFrame, group: list[str], keys: list[str], order: list[str], names: list[str]) -> DataFrame:
+    """Running totals when every group fits one task comfortably."""
+    whole = Window.partitionBy(*keys)
+    run = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cells.select(
+        *group, *order, *names,
+        *[(F.sum(n).over(run) - F.col(n)).alias(f"before_{n}") for n in names],
+        *[F.sum(n).over(whole).alias(f"all_{n}") for n in names])
+
+
 def average_rank(dist: DataFrame) -> Column:
     """Mean rank of the tied rows at a position, counted from one."""
     return F.col("before_n") + (F.col("n") + 1) / 2
