@@ -13,10 +13,12 @@ from .scoring import ratio
 def top_k(df: DataFrame, k: int, score: str = "score", by: tuple[str, ...] = ("date",)) -> DataFrame:
     """Best ``k`` rows of each session; equal scores go to the smaller code.
 
-    Spark keeps only ``k`` rows per session on each side of the shuffle.
+    The filter is on the row number itself, so Spark keeps only ``k`` rows per session before
+    the shuffle as well as after it.
     """
     best = Window.partitionBy(*by).orderBy(F.desc(score), "code")
-    return df.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)
+    kept = df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return kept.withColumn("rank", F.col("rank") - 1)
 
 
 def session_rank(df: DataFrame, score: str = "score", **kw) -> DataFrame:

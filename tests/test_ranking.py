@@ -131,3 +131,16 @@ def test_bootstrap_interval_holds_the_rate(spark, rows, frame):
     r = inf.date_bootstrap(spark.createDataFrame(f, "date date, hit int"),
                            spark.createDataFrame(pd.DataFrame({"date": days}), "date date"), n_boot=200, block=5).first()
     assert r.n_dates == 60 and r.ci_low < r.precision < r.ci_high and np.isclose(r.precision, f.hit.mean())
+
+
+def test_top_k_is_cut_before_the_shuffle(rows):
+    plan = xs.top_k(rows, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") and plan.count("WindowGroupLimit") >= 2
+
+
+def test_one_shuffle_serves_every_window(spark):
+    from panels import to_spark, wavy
+    from barsift.operators import scan
+    got = scan.emitted(scan.decisions(scan.grid_rows(to_spark(spark, wavy("000001", 80, 1)))))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
