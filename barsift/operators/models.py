@@ -249,7 +249,8 @@ def run_model_version(layered: DataFrame, version: str, years: tuple[int, ...],
         picked = own.join(F.broadcast(cut)).filter(F.col("score") >= F.col("threshold")).withColumn("eval_year", F.lit(year))
         parts = picked if parts is None else parts.unionByName(picked)
     if parts is None:
-        return _version_report(pool.select("code", "date", "label_bull", "label_joint").limit(0), pool, horizon, version)
+        none = pool.select("code", "date", "label_bull", "label_joint").filter(F.lit(False))
+        return _version_report(none, pool, horizon, version).withColumn("in_sample", F.lit(in_sample))
     chosen = staged(parts.select("code", "date", "label_bull", "label_joint", "score"))
     if first_only:
         chosen = first_per_year(chosen)
