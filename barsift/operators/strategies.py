@@ -271,7 +271,7 @@ class Strategies:
 
     def __init__(self, names: list[str] | None = None):
         self._rules = {}
-        for n in names or all_names():
+        for n in all_names() if names is None else names:
             base, cut = rule(n)
             self._rules[n] = (base, lambda b=base: score(b), cut)
 

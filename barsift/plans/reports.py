@@ -679,3 +679,26 @@ def _q09(spark, folder):
     long = xs.melt(matrix.with_price_features(bars(spark, folder)), ["code"], list(INVENTORY))
     seen = long.groupBy("feature").agg((F.count(F.lit(1)) - F.count("x")).alias("unknown_rows"))
     return au.rolling_inventory(INVENTORY, spark).join(seen, "feature")
+
+
+@query("s10_result_table", B + "select code, count(*) bars, max(high) highest from bars group by 1")
+def _s10(spark, folder):
+    path = f"{staging_root(spark)}/result-{__import__('uuid').uuid4().hex}"
+    src.write_result(bars(spark, folder).groupBy("code").agg(F.count(F.lit(1)).alias("bars"), F.max("high").alias("highest")), path)
+    return src.read_table(spark, path + "/*.parquet")
+
+
+@query("s12_stored_layers", q.with_(*LAYER_PARTS) + "select recall_tier, count(*) bars, sum(stabilization)::bigint steady from lay group by 1")
+def _s12(spark, folder):
+    """Layers written once, then read by two aggregates."""
+    lay = staged(layers.with_layers(bars(spark, folder)))
+    a = lay.groupBy("recall_tier").agg(F.count(F.lit(1)).alias("bars"))
+    return a.join(lay.groupBy("recall_tier").agg(F.sum("stabilization").alias("steady")), "recall_tier")
+
+
+@query("f01_custom_strategy", q.with_(rs.PRIMS) + "select code, date, 'above_mean' strategy_id, (close>a20)::int prediction from p")
+def _f01(spark, folder):
+    """A strategy of one's own: a score column over the windowed panel and a cutoff."""
+    own = Strategies([]).add("above_mean", lambda: F.when(
+        F.col("card_bars") == 60, (F.col("close") > F.col("mean20")).cast("double")), 0.5)
+    return scan.decisions(scan.grid_rows(bars(spark, folder)), own).select("code", "date", "strategy_id", "prediction")
