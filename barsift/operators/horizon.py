@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.panel import session_index
 
 
-# Largest share of a horizon that one session bucket spans in the look-ahead join.
+# Part of every candidate id.
 CANDIDATE_VERSION = "lowzone-tier-v1"
 
 

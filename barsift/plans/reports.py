@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +100,7 @@ def _s02(spark, folder):
 
 
 def _csv_folder(df: DataFrame) -> str:
-    import uuid
-    path = f"{staging_root(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    path = f"{staging_root(df.sparkSession)}/csv-{uuid4().hex}"
     df.write.option("header", True).csv(path)
     return path
 
@@ -122,7 +123,7 @@ def _s08(spark, folder):
 
 @query("s04_stored_panel", B + f"select count(*) bars, count(distinct code) codes, {q.r6('sum(close)', 4)} total_close from bars")
 def _s04(spark, folder):
-    path = f"{staging_root(spark)}/panel-{id(folder)}-{__import__('uuid').uuid4().hex}"
+    path = f"{staging_root(spark)}/panel-{uuid4().hex}"
     got = src.load_panel(spark, path, lambda: bars(spark, folder))
     return got.agg(F.count(F.lit(1)).alias("bars"), F.countDistinct("code").alias("codes"), r6(F.sum("close"), 4).alias("total_close"))
 
@@ -140,17 +141,17 @@ def _s06(spark, folder):
 
 @query("s09_report_sink", B + f"select code, count(*)::varchar bars, min(low)::double lowest from bars group by 1")
 def _s09(spark, folder):
-    path = f"{staging_root(spark)}/report-{__import__('uuid').uuid4().hex}"
+    path = f"{staging_root(spark)}/report-{uuid4().hex}"
     src.write_report(bars(spark, folder).groupBy("code").agg(F.count(F.lit(1)).alias("bars"), F.min("low").alias("lowest")), path)
     return spark.read.schema("code string, bars string, lowest double").option("header", True).csv(path)
 
 
 @query("s11_matrix_store", B + "select stride, count(*) row_count from bars, (values (5)) v(stride) group by 1")
 def _s11(spark, folder):
-    path = f"{staging_root(spark)}/matrix-{__import__('uuid').uuid4().hex}"
+    path = f"{staging_root(spark)}/matrix-{uuid4().hex}"
     rows = bars(spark, folder).select("code", "date", "close")
     src.write_matrix(rows, path, 10, 0.3, 5)
-    src.write_matrix(rows.filter("volume > 60") if "volume" in rows.columns else rows, path, 10, 0.3, 25)
+    src.write_matrix(rows, path, 10, 0.3, 25)
     return src.load_matrix(spark, path, 10, 0.3).groupBy("stride").agg(F.count(F.lit(1)).alias("row_count"))
 
 
@@ -261,7 +262,7 @@ def _w26(spark, folder):
 
 
 @query("j09_cards", BS + f"""select code, date observation_date, 60 bars, {q.r6('avg(close) over w')} mean_close from s
-  window w as (partition by code order by date rows 59 preceding) qualify seq>=60 and seq%5=0""".replace("from s\n  window", "from s\n  window"))
+  window w as (partition by code order by date rows 59 preceding) qualify seq>=60 and seq%5=0""")
 def _j09(spark, folder):
     cards = cards_of(spark, folder)
     return cards.select("code", "observation_date", F.size("bars").alias("bars"), r6(
@@ -683,7 +684,7 @@ def _q09(spark, folder):
 
 @query("s10_result_table", B + "select code, count(*) bars, max(high) highest from bars group by 1")
 def _s10(spark, folder):
-    path = f"{staging_root(spark)}/result-{__import__('uuid').uuid4().hex}"
+    path = f"{staging_root(spark)}/result-{uuid4().hex}"
     src.write_result(bars(spark, folder).groupBy("code").agg(F.count(F.lit(1)).alias("bars"), F.max("high").alias("highest")), path)
     return src.read_table(spark, path + "/*.parquet")
 

@@ -26,7 +26,6 @@ CUTOFF = "2000-01-03"
 def population(spark, folder) -> DataFrame:
     rows = labelled(spark, folder, "webpro").filter("label_resolved")
     score = (30.5 - F.col("close")) / 10.5 * 0.7 + 0.3 * close_location()
-    rows = rows.withColumn("_f", F.col("forward_max_return"))
     return staged(rows.select("code", "date", F.col("label_bull").alias("y"), score.alias("score"), "close", "volume",
                               "high", "low"))
 
