@@ -1 +1,8 @@
 """Operators and queries for preparing training data."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this subpackage travel to executors by value, so these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
-from .common import table
+from ..session import staging_root
+from . import langid, mixing, simhash, warc
+from .common import crc_bucket, table
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -42,3 +45,23 @@ select doc_id, size, source_size, target,
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = langid.fit(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op7_warc")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    archive = f"{staging_root(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write(table(spark, folder, "pages"), archive)
+    return warc.read(spark, archive, manifest).drop("url", "payload")
