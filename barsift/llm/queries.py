@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import langid, mixing, simhash, warc
+from . import ann, decontaminate, langid, maxent, mixing, simhash, suffixes, urlfilter, warc
 from .common import crc_bucket, table
 
 QUERIES: dict = {}
@@ -65,3 +65,30 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     archive = f"{staging_root(spark)}/warc-{uuid.uuid4().hex}"
     manifest = warc.write(table(spark, folder, "pages"), archive)
     return warc.read(spark, archive, manifest).drop("url", "payload")
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 1, F.lit(False)))
+    return maxent.score(docs, docs.filter("not held_out"), keep=("held_out",))
+
+
+@query("op2_url_filter")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return urlfilter.judge(table(spark, folder, "pages"))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+@query("op8_ann")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.dedupe(table(spark, folder, "documents"), keep=["doc_id"], with_text=False)
