@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import ann, decontaminate, langid, maxent, mixing, simhash, suffixes, urlfilter, warc
+from . import ann, decontaminate, langid, licenses, maxent, mixing, simhash, suffixes, urlfilter, warc
 from .common import crc_bucket, table
 
 QUERIES: dict = {}
@@ -92,3 +92,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.dedupe(table(spark, folder, "documents"), keep=["doc_id"], with_text=False)
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of a tree: source, language, and a directory for every hundred ids."""
+    docs = table(spark, folder, "documents")
+    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 100).cast("bigint"), "doc_id")
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))

@@ -174,3 +174,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     looked = looked.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     return salted.join(looked, ["fp", "_salt"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id; all columns as they are.
+
+    Of repeated rows with that id one stays, the first by the text's bytes. Of a component whose ids are all null
+    one row per different text stays.
+    """
+    judged = near_duplicates(docs, text, doc_id)
+    stays = staged(judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
+    rows = docs.join(stays, docs[doc_id].eqNullSafe(stays["_id"]))
+    single = F.col(doc_id).isNotNull() & (F.col("_n") == 1)
+    once = rows.filter(single).drop("_id", "_n")
+    # Ids that occur again: one row of each, by its text; of rows without id, one of each text.
+    kept = [c for c in docs.columns]
+    again = rows.filter(~single).withColumn("_text", F.when(F.col(doc_id).isNull(), F.col(text)))
+    first = F.min(F.struct(F.col(text).alias("_by"), F.struct(*kept).alias("_row"))).alias("_first")
+    again = again.groupBy("_id", "_text").agg(first).select("_first._row.*")
+    return once.unionByName(again)
