@@ -100,8 +100,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     languages = sorted(counts["lang"].unique())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; a model takes {MAX_LANGUAGES}")
-    code = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    bucket, n = counts["bucket"].to_numpy(), counts["n"].to_numpy()
+    code = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
+    bucket, n = counts["bucket"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
     matrix = np.full((BUCKETS, len(languages)), ADDED)
     at = bucket >= 0
     np.add.at(matrix, (bucket[at], code[at]), n[at])
