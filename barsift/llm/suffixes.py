@@ -30,8 +30,8 @@ from .common import chunks, utf8
 
 LENGTH = 400
 GRAM = 256
-#: Surroundings of one gram that one task sorts; grams with more are counted by Spark instead.
-GROUP = 2_048
+#: Surroundings of one gram that one task sorts (about 35 MB); grams with more are counted by Spark instead.
+GROUP = 65_536
 #: Grams handled at once in one text, and context bytes sorted at once in one task.
 _PIECE = 1 << 20
 _SORTED = 4 << 20
@@ -315,10 +315,11 @@ def repeated_ranges(docs: DataFrame, text: str = "text", length: int = LENGTH, g
     """(t1, t2, ranges) of every text with a repeated string; a range is (a, b), or (x, -1) for all strings around the gram at x."""
     texts = _texts(docs, text, [])
     rows = staged(_anchor_rows(texts, length, gram))
-    shared = rows.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
+    # Written, so that the joins deal their rows anew and a gram that a third of the rows share can be split.
+    shared = staged(rows.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c"))
     rows = staged(rows.join(shared, "c"))
     kinds = staged(rows.groupBy("c", "u").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "x")).alias("at")))
-    edges = kinds.groupBy("c").agg(F.count("*").alias("g"), F.bool_or(F.col("n") == 1).alias("any")).filter("any and g > 1").select("c", "g")
+    edges = staged(kinds.groupBy("c").agg(F.count("*").alias("g"), F.bool_or(F.col("n") == 1).alias("any")).filter("any and g > 1").select("c", "g"))
     wanted = staged(kinds.join(edges, "c").select("c", "at.*", (F.col("n") == 1).alias("open"), "g"))
     done = rows.join(kinds.filter("n > 1").select("c", "u"), ["c", "u"]).select("t1", "t2", F.col("x").alias("a"), F.lit(-1).alias("b"))
     found = done.unionByName(_open_runs(texts, wanted, length, gram)).distinct()
