@@ -12,6 +12,7 @@ not grow with the corpus; the word counts do, and stay in Spark.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,9 @@ DISCOUNT = 0.5
 END = b""
 #: Text bytes of one block of documents that is scored with its words' counts.
 BLOCK_BYTES = 16 << 20
-_TOKENS = 1 << 14
+#: Text bytes of one task of a training round.
+TASK_BYTES = 256 << 20
+_TOKENS = 1 << 12
 _REMEMBERED = 300_000
 _DISTINCT = 500_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -49,103 +52,122 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Index(dict):
+    """Numbers words as they come."""
+
+    def __init__(self, words=()):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.fresh = list(words)
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        i = self[word] = len(self)
+        return i
+
+
 class Words:
     """Numbers of the words of a task: hash, class and slot."""
 
-    def __init__(self, words: list[bytes] | None = None):
-        self.index: dict[bytes, int] = {}
+    def __init__(self, words: list[bytes] = ()):
+        self.index = _Index(words)
         self.hash = np.zeros(0, np.uint64)
         self.cell = np.zeros(0, np.int32)
-        self._fresh: list[bytes] = []
-        if words:
-            self.index = dict(zip(words, range(len(words)), strict=True))
-            self._fresh = words
-            self.settle()
+        self.settle()
 
     def numbers(self, text: bytes) -> list[int]:
         """The text's words and its end."""
-        index, fresh, out = self.index, self._fresh, []
-        for w in text.lower().split():
-            i = index.get(w)
-            if i is None:
-                i = index[w] = len(index)
-                fresh.append(w)
-            out.append(i)
-        if END not in index:
-            index[END] = len(index)
-            fresh.append(END)
+        index = self.index
+        out = [index[w] for w in text.lower().split()]
         out.append(index[END])
         return out
 
     def settle(self) -> None:
-        if self._fresh:
+        fresh = self.index.fresh
+        if fresh:
             digest = xxhash.xxh3_64_intdigest
-            h = np.array([digest(w) for w in self._fresh], np.uint64)
-            ending = np.array([digest(w[-3:]) for w in self._fresh], np.uint64)
+            h = np.array([digest(w) for w in fresh], np.uint64)
+            ending = np.array([digest(w[-3:]) for w in fresh], np.uint64)
             cell = (ending % np.uint64(CLASSES)) * np.uint64(SLOTS) + (h >> np.uint64(40)) % np.uint64(SLOTS)
             self.hash = np.concatenate([self.hash, h])
             self.cell = np.concatenate([self.cell, cell.astype(np.int32)])
-            self._fresh = []
+            self.index.fresh = []
 
 
-def _pieces(texts: list[bytes], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Word numbers of about ``_TOKENS`` tokens, and the text of each; a longer text is one piece."""
-    held, owner = [], []
-    for i, t in enumerate(texts):
-        ids = words.numbers(t)
-        held += ids
-        owner += [i] * len(ids)
-        if len(held) >= _TOKENS:
-            yield np.array(held), np.array(owner)
-            held, owner = [], []
-    if held:
-        yield np.array(held), np.array(owner)
+def _pieces(texts: list[bytes], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of ``_TOKENS`` tokens: word numbers, the text of each, and numbers and texts of the three before the run."""
+    ids = [words.numbers(t) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in ids])
+    ids = np.concatenate([np.array(x, np.int64) for x in ids]) if texts else np.zeros(0, np.int64)
+    words.settle()
+    for a in range(0, len(ids), _TOKENS):
+        yield ids[a:a + _TOKENS], owner[a:a + _TOKENS], ids[max(0, a - 3):a + _TOKENS], owner[max(0, a - 3):a + _TOKENS]
 
 
-def _rows(ids: np.ndarray, owner: np.ndarray, words: Words) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Cell of every token, and the table rows of its history's features."""
-    words.settle()
-    h, cell = words.hash[ids], words.cell[ids]
+def _rows(ids: np.ndarray, wide: np.ndarray, owners: np.ndarray, words: Words) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Cell of every token, and the table rows of its history's features. ``wide`` also has the tokens before."""
+    cell, h, lead = words.cell[ids], words.hash[wide], len(wide) - len(ids)
     back = []
     for d in (1, 2, 3):
         x = np.full(len(h), np.uint64(d), np.uint64)
-        x[d:] = np.where(owner[d:] == owner[:-d], h[:-d], np.uint64(d)) if len(h) > d else x[d:]
-        back.append(x)
+        if len(h) > d:
+            np.copyto(x[d:], h[:-d], where=owners[d:] == owners[:-d])
+        back.append(x[lead:])
 
     def feature(j, spec):
-        x = np.full(len(h), np.uint64(j + 1), np.uint64)
-        for d in spec:
-            x = _mixed(x * _K1 + back[d - 1])
+        x = back[spec[0] - 1] * _K1 + np.uint64(j + 1)
+        for d in spec[1:]:
+            x = (_mixed(x) + back[d - 1]) * _K1
         return x
 
-    classes = [(feature(j, s) >> np.uint64(20)) % np.uint64(CLASS_ROWS) for j, s in enumerate(CLASS_FEATURES)]
-    of = (cell // SLOTS).astype(np.uint64)
-    slots = [(_mixed(feature(j + 8, s) + (of + np.uint64(1)) * _K1) >> np.uint64(20)) % np.uint64(SLOT_ROWS) for j, s in enumerate(SLOT_FEATURES)]
-    return cell, [x.astype(np.uint16) for x in classes], [x.astype(np.uint16) for x in slots]
+    classes = [_mixed(feature(j, s)) >> np.uint64(20) & np.uint64(CLASS_ROWS - 1) for j, s in enumerate(CLASS_FEATURES)]
+    of = ((cell // SLOTS).astype(np.uint64) + np.uint64(1)) * _K2
+    slots = [_mixed(feature(j + 8, s) + of) >> np.uint64(20) & np.uint64(SLOT_ROWS - 1) for j, s in enumerate(SLOT_FEATURES)]
+    return cell, [x.astype(np.int32) for x in classes], [x.astype(np.int32) for x in slots]
+
+
+class _Room:
+    """Arrays of one run of tokens, used again for the next."""
 
+    def __init__(self):
+        self.z = {k: np.empty((_TOKENS, k), np.float32) for k in {CLASSES, SLOTS}}
+        self.more = {k: np.empty((_TOKENS, k), np.float32) for k in {CLASSES, SLOTS}}
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+
+def _sums(base: np.ndarray, at, table: np.ndarray, rows: list[np.ndarray], z: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """base + the table's rows, the greatest of a token taken off."""
+    n = len(rows[0])
+    z, more = z[:n], more[:n]
+    np.take(table, rows[0], axis=0, out=z, mode="clip")
+    for r in rows[1:]:
+        z += np.take(table, r, axis=0, out=more, mode="clip")
+    z += base if at is None else np.take(base, at, axis=0, out=more, mode="clip")
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    return z
 
 
-def _forward(cell, classes, slots, weights):
-    """Log-probabilities of all classes, and of all slots of the token's class."""
+def _chances(cell, classes, slots, weights, room: _Room) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of the token's class and of its slot."""
     bias, class_table, slot_bias, slot_table = weights
-    zc = class_table[classes[0]] + bias
-    for r in classes[1:]:
-        zc += class_table[r]
-    zs = slot_bias[cell // SLOTS]
-    for r in slots:
-        zs = zs + slot_table[r]
-    return _log_softmax(zc), _log_softmax(zs)
+    c, s, at = cell // SLOTS, cell % SLOTS, np.arange(len(cell))
+    out = []
+    for base, of, table, rows, own, k in ((bias, None, class_table, classes, c, CLASSES), (slot_bias, c, slot_table, slots, s, SLOTS)):
+        z = _sums(base, of, table, rows, room.z[k], room.more[k])
+        mine = z[at, own]
+        out.append(mine - np.log(np.exp(z, out=z).sum(1)))
+    return out[0], out[1]
 
 
-def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    total[r[first]] += np.add.reduceat(values[order], first, axis=0)
+def _drawn(cell, classes, slots, weights, room: _Room, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A class and a slot of the token's class, drawn from the model with the given uniform numbers."""
+    bias, class_table, slot_bias, slot_table = weights
+    out = []
+    for base, of, table, rows, k in ((bias, None, class_table, classes, CLASSES), (slot_bias, cell // SLOTS, slot_table, slots, SLOTS)):
+        z = _sums(base, of, table, rows, room.z[k], room.more[k])
+        np.exp(z, out=z)
+        np.cumsum(z, axis=1, out=z)
+        out.append((z >= (u * z[:, -1])[:, None]).argmax(1))
+        u = (u * np.float32(64)) % np.float32(1)
+    return out[0], out[1]
 
 
 #: Table sizes in the order in which they travel, flat, and floats of one travelling block.
@@ -162,54 +184,57 @@ _SIZE = sum(int(np.prod(s)) for s in SHAPES)
 
 
 def _summed(docs: DataFrame, weights) -> np.ndarray:
-    """Counts (``weights`` None) or counts minus expected counts of all features over ``docs``.
+    """Counts (``weights`` None) of all features over ``docs``, or counts minus those of words drawn from the model.
 
-    Each task sums its own; blocks of the vector meet by number and are added as they stream in. The
-    driver gets one vector of fixed size.
+    A word drawn in place of each token has the expected counts on average, so the difference is the
+    gradient of the likelihood. Each task sums its own; blocks of the vector meet by number and are added as
+    they stream in. Counts are whole numbers, so the order doesn't matter. The driver gets one vector of fixed size.
     """
     held = None if weights is None else docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.zeros(_SIZE, np.float32 if held else np.float64)
-        bias, class_table, slot_bias, slot_table = _shaped(flat)
-        words, any_row = Words(), False
+        flat = np.zeros(_SIZE, np.int32)
+        _, class_table, slot_bias, slot_table = (x.reshape(-1) for x in _shaped(flat))
+        words, room, any_row = Words(), _Room(), False
+        pending: list = []
+
+        def settle():
+            # Feature numbers are gathered first: counting them costs a pass over the table.
+            for table, k in ((class_table, 0), (slot_table, 1), (slot_bias, 2)):
+                for sign in (1, -1):
+                    at = [x for where, way, x in pending if where == k and way == sign]
+                    if at:
+                        n = np.bincount(np.concatenate(at), minlength=len(table))
+                        np.add(table, sign * n, out=table, casting="unsafe")
+            pending.clear()
+
         for part in chunks(batches):
             if len(words.index) > _REMEMBERED:
                 words = Words()
-            for ids, owner in _pieces(part.column("text").to_pylist(), words):
+            for ids, _, wide, owners in _pieces(part.column("text").to_pylist(), words):
                 any_row = True
-                cell, classes, slots = _rows(ids, owner, words)
-                c, s = cell // SLOTS, cell % SLOTS
-                if held is None:
-                    for r in classes:
-                        class_table.reshape(-1)[:] += np.bincount(r.astype(np.int64) * CLASSES + c, minlength=class_table.size)
-                    for r in slots:
-                        slot_table.reshape(-1)[:] += np.bincount(r.astype(np.int64) * SLOTS + s, minlength=slot_table.size)
-                    slot_bias.reshape(-1)[:] += np.bincount(cell, minlength=slot_bias.size)
-                    continue
-                lc, ls = _forward(cell, classes, slots, held.value)
-                at = np.arange(len(cell))
-                gc, gs = -np.exp(lc), -np.exp(ls)
-                gc[at, c] += 1
-                gs[at, s] += 1
-                for r in classes:
-                    _add_rows(class_table, r, gc)
-                for r in slots:
-                    _add_rows(slot_table, r, gs)
-        if held is None:
-            bias += slot_bias.sum(1)
+                cell, classes, slots = _rows(ids, wide, owners, words)
+                ways = [(1, cell // SLOTS, cell % SLOTS)]
+                if held is not None:
+                    u = (_mixed(words.hash[ids] * _K1 + words.hash[wide[-len(ids) - 1:-1]] if len(wide) > len(ids) else words.hash[ids]) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+                    ways.append((-1, *_drawn(cell, classes, slots, held.value, room, u)))
+                else:
+                    pending.append((2, 1, cell))
+                for sign, c, s in ways:
+                    pending += [(0, sign, r * np.int32(CLASSES) + c) for r in classes]
+                    pending += [(1, sign, r * np.int32(SLOTS) + s) for r in slots]
+            settle()
         if any_row:
-            flat = flat.astype(np.float32 if held else np.int64)
+            if held is None:
+                flat[:CLASSES] = slot_bias.reshape(CLASSES, SLOTS).sum(1)
             for i in range(0, _SIZE, _BLOCK):
                 yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK], pa.int32()), pa.array([flat[i:i + _BLOCK].tobytes()])], ["block", "held"])
 
-    kind = np.dtype(np.float32 if held else np.int64)
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, x in zip(batch.column("block").to_pylist(), batch.column("held").to_pylist(), strict=True):
-                x = np.frombuffer(x, kind).astype(np.float64)
+                x = np.frombuffer(x, np.int32).astype(np.int64)
                 total[b] = total[b] + x if b in total else x
         for b, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()])], ["block", "held"])
@@ -217,7 +242,7 @@ def _summed(docs: DataFrame, weights) -> np.ndarray:
     blocks = docs.mapInArrow(run, "block int, held binary").repartition("block").mapInArrow(add, "block int, held binary")
     flat = np.zeros(_SIZE)
     for b, x in blocks.toPandas().itertuples(index=False):
-        x = np.frombuffer(x, np.float64)
+        x = np.frombuffer(x, np.int64)
         flat[b * _BLOCK:b * _BLOCK + len(x)] = x
     return flat
 
@@ -245,27 +270,29 @@ def fit(docs: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     for k in range(ROUNDS):
         held = [w.astype(np.float32) for w in weights]
         gradient = _shaped(_summed(docs.filter(fold == k), held))
-        for i, p in ((1, p_class), (3, share_slot)):
+        for i in (1, 3):
             seen = counts[i] / ROUNDS
             expected = np.maximum(seen - gradient[i], 0)
-            weights[i] += STEP * np.clip(gradient[i] / (np.maximum(seen, expected) + PRIOR * p * 4), -2, 2)
+            weights[i] += STEP * np.clip(gradient[i] / (np.maximum(seen, expected) + 8), -1, 1)
     return [w.astype(np.float32) for w in weights], n_slot.reshape(-1)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of ``docs``, ends of texts included."""
 
+    def listed(seen):
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        seen: Counter = Counter()
         for part in chunks(batches):
             for t in part.column("text").to_pylist():
-                for w in t.lower().split():
-                    seen[w] = seen.get(w, 0) + 1
-                seen[END] = seen.get(END, 0) + 1
+                seen.update(t.lower().split())
+            seen[END] += part.num_rows
             if len(seen) > _DISTINCT:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-                seen = {}
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+                yield listed(seen)
+                seen = Counter()
+        yield listed(seen)
 
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -299,13 +326,15 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "
     rows are scored each; no rows give none.
     """
     learn = train.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
-    weights, in_cell = fit(learn)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    # Each task of a training round hands on a whole vector, so tasks are few and large.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(size // TASK_BYTES))
+    weights, in_cell = fit(learn.coalesce(tasks))
     vocabulary = staged(word_counts(learn))
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     held = docs.sparkSession.sparkContext.broadcast((weights, in_cell, _distinct_words(vocabulary)))
 
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
+    blocks = max(int(size // BLOCK_BYTES) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = ["doc_id", *keep]
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, utf8(F.col(text)).alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
@@ -324,7 +353,8 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "
     def listed(b, of):
         return pa.RecordBatch.from_arrays([pa.array([b] * len(of), pa.int32()), pa.array(list(of), pa.binary())], ["block", "word"])
 
-    known = rows.select("block", "text").mapInArrow(used, "block int, word binary").join(vocabulary, "word", "left")
+    # Over the same rows as below, so that they are dealt out once.
+    known = rows.mapInArrow(used, "block int, word binary").join(vocabulary, "word", "left")
     known = known.select("block", "word", F.coalesce("n", F.lit(0)).alias("n"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -335,16 +365,18 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         room = in_cell[words.cell] + 1
         own = np.log10(np.where(c > 0, c - DISCOUNT, DISCOUNT * types[words.cell] + 1) / room)
-        out = np.zeros((4, left.num_rows))
-        start = 0
+        known_word = (c > 0).astype(np.float64)
+        out, start, room = np.zeros((4, left.num_rows)), 0, _Room()
         for part in chunks(iter(left.select(["text"]).to_batches())):
-            for ids, owner in _pieces(part.column("text").to_pylist(), words):
-                cell, classes, slots = _rows(ids, owner, words)
-                lc, ls = _forward(cell, classes, slots, weights)
-                at = np.arange(len(cell))
-                lp = (lc[at, cell // SLOTS].astype(np.float64) + ls[at, cell % SLOTS]) / np.log(10) + own[ids]
-                for i, x in enumerate((np.ones(len(ids)), c[ids] > 0, base[ids], lp)):
-                    out[i] += np.bincount(owner + start, x, left.num_rows)
+            sums = np.zeros((4, part.num_rows))
+            for ids, owner, wide, owners in _pieces(part.column("text").to_pylist(), words):
+                cell, classes, slots = _rows(ids, wide, owners, words)
+                lc, ls = _chances(cell, classes, slots, weights, room)
+                lp = (lc.astype(np.float64) + ls) / np.log(10) + own[ids]
+                first, n_owner = owner[0], owner[-1] - owner[0] + 1
+                for i, x in enumerate((None, known_word[ids], base[ids], lp)):
+                    sums[i, first:first + n_owner] += np.bincount(owner - first, x, n_owner)
+            out[:, start:start + part.num_rows] = sums
             start += part.num_rows
         cols = [*(left.column(k) for k in names), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)),
                 pa.array(np.full(left.num_rows, n, np.int64)), pa.array(out[2]), pa.array(out[3])]

@@ -322,9 +322,14 @@ def test_language_model_is_a_distribution(spark):
     inside = np.bincount(words.cell, (c - maxent.DISCOUNT) / room[words.cell], len(in_cell)) + (maxent.DISCOUNT * types + 1) / room
     assert np.allclose(inside, 1)
     ids = np.array(words.numbers(b"the house and water"))
-    cell, classes, slots = maxent._rows(ids, np.zeros(len(ids), int), words)
-    lc, ls = maxent._forward(cell, classes, slots, weights)
-    assert np.allclose(np.exp(lc).sum(1), 1, atol=1e-4) and np.allclose(np.exp(ls).sum(1), 1, atol=1e-4)
+    words.settle()
+    cell, classes, slots = maxent._rows(ids, ids, np.zeros(len(ids), int), words)
+    # The same history with every class in turn, and every slot of the class.
+    k = np.arange(maxent.CLASSES)
+    total = [maxent._chances(np.full(1, c * maxent.SLOTS), [r[2:3] for r in classes], [r[2:3] for r in slots], weights, maxent._Room())[0] for c in k]
+    assert math.isclose(np.exp(total).sum(), 1, abs_tol=1e-4)
+    total = [maxent._chances(np.full(1, s), [r[2:3] for r in classes], [r[2:3] for r in slots], weights, maxent._Room())[1] for s in range(maxent.SLOTS)]
+    assert math.isclose(np.exp(total).sum(), 1, abs_tol=1e-4)
 
 
 def test_language_model_of_empty_tables(spark):
