@@ -80,6 +80,10 @@ _BLOCK_DECAY = 600.0
 Specs = dict[str, tuple[str, float, float | None, int]]
 
 
+def _decayed_by(factor: float):
+    return lambda state, end: state * factor + end
+
+
 def ewm(df: DataFrame, specs: Specs, gaps: bool = False) -> DataFrame:
     """Exponentially weighted means as weighted running sums, exact to rounding.
 
@@ -90,8 +94,9 @@ def ewm(df: DataFrame, specs: Specs, gaps: bool = False) -> DataFrame:
     source must have no unknown value.
 
     ``E_t = a_t E_{t-1} + b_t`` is solved as ``A_t * sum(b_i / A_i)`` with ``A`` the running
-    product of ``a``. Blocks bound the exponent, and the value at the end of the previous
-    block carries over; anything older has decayed below the precision of a double.
+    product of ``a``. Blocks bound the exponent of the fastest mean; the ends of all earlier blocks
+    carry over, each decayed by the blocks in between, so slow means keep their whole history. A
+    code has one end per few hundred bars.
     """
     if gaps:
         for out, spec in specs.items():
@@ -111,10 +116,11 @@ def ewm(df: DataFrame, specs: Specs, gaps: bool = False) -> DataFrame:
         local[f"_e_{o}"] = F.exp(at * decay[o]) * F.sum(weight * F.exp(-at * decay[o])).over(inside)
     df = df.withColumns(local)
     df = df.withColumns({
-        f"_z_{o}": F.last(F.when(at == size - 1, F.col(f"_e_{o}")), ignorenulls=True).over(before) for o in specs})
+        f"_z_{o}": F.collect_list(F.when(at == size - 1, F.col(f"_e_{o}"))).over(before) for o in specs})
     done = {}
     for o, (_, _, _, least) in specs.items():
-        carried = F.coalesce(F.col(f"_z_{o}") * F.exp((at + 1) * decay[o]), F.lit(0.0))
+        ends = F.aggregate(f"_z_{o}", F.lit(0.0), _decayed_by(math.exp(size * decay[o])))
+        carried = ends * F.exp((at + 1) * decay[o])
         done[o] = F.when(F.col("_p") + 1 >= least, F.col(f"_e_{o}") + carried)
     return df.withColumns(done).drop("_p", "_b", *local, *[f"_z_{o}" for o in specs])
 

@@ -16,15 +16,19 @@ def top_k(df: DataFrame, k: int, score: str = "score", by: tuple[str, ...] = ("d
     The filter is on the row number itself, so Spark keeps only ``k`` rows per session before
     the shuffle as well as after it.
     """
-    best = Window.partitionBy(*by).orderBy(F.desc(score), "code")
+    best = Window.partitionBy(*by).orderBy(F.desc_nulls_last(score), "code")
     kept = df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return kept.withColumn("rank", F.col("rank") - 1)
 
 
 def session_rank(df: DataFrame, score: str = "score", **kw) -> DataFrame:
-    """Zero-based position of every row in its session, best first, smaller code on ties."""
-    keyed = df.withColumn("_neg", -F.col(score))
-    return row_numbers(keyed, ["date"], ["_neg", "code"], out="session_rank", **kw).drop("_neg", "group_rows")
+    """Zero-based position of every row in its session, best first, smaller code on ties.
+
+    A row without a score keeps its place in the table and has no rank.
+    """
+    keyed = df.withColumns({"_neg": -F.col(score), "_unknown": F.col(score).isNull()})
+    placed = row_numbers(keyed, ["date"], ["_unknown", "_neg", "code"], out="session_rank", **kw)
+    return placed.withColumn("session_rank", F.when(~F.col("_unknown"), F.col("session_rank"))).drop("_neg", "_unknown", "group_rows")
 
 
 def session_percentile(df: DataFrame, score: str = "score", out: str = "pct", **kw) -> DataFrame:
@@ -58,17 +62,17 @@ def matched_rate(df: DataFrame, k: int, keys: list[str]) -> DataFrame:
 
 
 def top_n_per_group(df: DataFrame, budgets: DataFrame, keys: list[str], score: str = "score", **kw) -> DataFrame:
-    """Best ``budget`` rows of each group in a total order; budgets come as a table."""
-    order = ["_neg", "date", "code"]
-    keyed = df.withColumn("_neg", -F.col(score))
+    """Best ``budget`` rows of each group in a total order, unknown scores last; budgets come as a table."""
+    order = ["_unknown", "_neg", *(c for c in ("date", "code") if c not in keys)]
+    keyed = df.withColumns({"_neg": -F.col(score), "_unknown": F.col(score).isNull()})
     placed = row_numbers(keyed, keys, order, **kw)
-    return placed.join(budgets, keys).filter(F.col("row_no") < F.col("budget")).drop("_neg", "row_no", "group_rows")
+    return placed.join(budgets, keys).filter(F.col("row_no") < F.col("budget")).drop("_neg", "_unknown", "row_no", "group_rows")
 
 
 def rate_curve(df: DataFrame, counts: list[int], label: str = "y", score: str = "score", **kw) -> DataFrame:
-    """Precision of the best ``c`` rows for each count, ties in date and code order."""
-    keyed = df.withColumn("_neg", -F.col(score))
-    dist = cumulative(keyed, [], ["_neg", "date", "code"], {"hits": F.sum(label)}, **kw)
+    """Precision of the best ``c`` rows for each count, ties in date and code order, unknown scores last."""
+    keyed = df.withColumns({"_neg": -F.col(score), "_unknown": F.col(score).isNull()})
+    dist = cumulative(keyed, [], ["_unknown", "_neg", "date", "code"], {"hits": F.sum(label)}, **kw)
     asked = F.explode(F.array(*[F.lit(c) for c in sorted(set(counts))])).alias("asked")
     at = dist.select(
         asked, (F.col("before_n") + 1).alias("n_signals"), "all_n",
@@ -80,9 +84,10 @@ def rate_curve(df: DataFrame, counts: list[int], label: str = "y", score: str =
 def frontier(df: DataFrame, keys: list[str], label: str = "y", score: str = "score", **kw) -> DataFrame:
     """Precision, recall and false-positive rate at every cut a threshold can make.
 
-    Rows with equal scores are published together, so every point can be reached.
+    Rows with equal scores are published together, so every point can be reached. Rows without a score
+    count in the rates and are never published.
     """
-    dist = cumulative(df, keys, [score], {"pos": F.sum(label)}, **kw)
+    dist = cumulative(df, keys, [score], {"pos": F.sum(label)}, **kw).filter(F.col(score).isNotNull())
     n = F.col("all_n") - F.col("before_n")
     tp = F.col("all_pos") - F.col("before_pos")
     return dist.select(
@@ -92,9 +97,9 @@ def frontier(df: DataFrame, keys: list[str], label: str = "y", score: str = "sco
 
 
 def prefix_frontier(df: DataFrame, label: str = "y", score: str = "score", points: int = 200, **kw) -> DataFrame:
-    """Frontier over row prefixes: the first 2000 cuts and evenly spaced ones after that."""
-    keyed = df.withColumn("_neg", -F.col(score))
-    dist = cumulative(keyed, [], ["_neg", "date", "code"], {"pos": F.sum(label)}, **kw)
+    """Frontier over row prefixes, unknown scores last: the first 2000 cuts and evenly spaced ones after that."""
+    keyed = df.withColumns({"_neg": -F.col(score), "_unknown": F.col(score).isNull()})
+    dist = cumulative(keyed, [], ["_unknown", "_neg", "date", "code"], {"pos": F.sum(label)}, **kw)
     n = F.col("before_n") + 1
     tp = F.col("before_pos") + F.col("pos")
     total = F.col("all_n")

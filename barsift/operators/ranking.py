@@ -7,46 +7,46 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-# Groups with more distinct positions than this are split into value ranges.
-SPLIT_ROWS = 2_000_000
-_RANGES = 256
+# Distinct positions of one range, on average; the ranges of a group grow with its size.
+RANGE_ROWS = 200_000
+# Cuts are searched in two steps of about this many comparisons each.
+_STEP = 256
 
 
 def cumulative(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column] | None = None,
-               split_rows: int = SPLIT_ROWS, stage: bool = True) -> DataFrame:
+               split_rows: int = RANGE_ROWS) -> DataFrame:
     """Running totals over the distinct ``order`` positions of each group, ascending.
 
     Returns one row per group and position with ``n`` (rows there) and, for ``n`` and every
     entry of ``sums``, ``before_*`` (total of smaller positions) and ``all_*`` (total of the
-    group). Equal positions are combined before the shuffle. A large group is cut at positions
-    chosen by a hash of the position itself, so every run and every retry cuts alike; each
-    range is then summed on its own and the ranges' totals are added up. When no group is that
-    large, one window does.
+    group). Equal positions are combined before the shuffle. A group is cut at positions chosen by a
+    hash of the position itself, one in ``split_rows``, so every run and every retry cuts alike and a
+    range has about as many positions at any size; each range is summed on its own and the ranges'
+    totals are added up. A group of few positions has no cut and is one range.
     """
     sums = {"n": F.count(F.lit(1)), **(sums or {})}
     names = list(sums)
     keys = list(group)
     if not keys:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    cells = df.groupBy(*keys, *order).agg(*[s.alias(n) for n, s in sums.items()])
-    if stage:
-        cells = staged(cells)
-        # The stored cells tell whether any group needs splitting at all.
-        widest = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0] or 0
-        if widest <= split_rows:
-            return _one_range(cells, group, keys, order, names)
+    cells = staged(df.groupBy(*keys, *order).agg(*[s.alias(n) for n, s in sums.items()]))
     spot = F.struct(*order)
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    big = sizes.filter(F.col("_size") > split_rows)
-    cuts = (cells.join(big, keys)
-            .filter(F.pmod(F.xxhash64(*keys, *order), F.ceil(F.col("_size") / _RANGES)) == 0)
-            .groupBy(*keys).agg(F.sort_array(F.collect_list(spot)).alias("_cuts")))
-    placed = cells.join(cuts, keys, "left").withColumn("_range", F.coalesce(
-        F.size(F.filter("_cuts", lambda c: c <= spot)), F.lit(0))).drop("_cuts")
+    cuts = cells.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(split_rows)) == 0)
+    cuts = cuts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.sort_array(F.collect_list(spot)).alias("_cuts"))
+    cuts = cuts.withColumn("_heads", F.expr(f"filter(_cuts, (c, i) -> i % {_STEP} = {_STEP - 1})"))
+    if group:
+        placed = cells.join(cuts, _same([(k, f"_k_{k}") for k in keys]), "left")
+    else:
+        # The whole table is the only group, so its cuts are one row.
+        placed = cells.join(F.broadcast(cuts.drop("_k__all")), how="left")
+    # First among every _STEP-th cut, then among the cuts from there on.
+    passed = F.coalesce(F.size(F.filter("_heads", lambda c: c <= spot)), F.lit(0)) * _STEP
+    rest = F.filter(F.slice("_cuts", passed + 1, F.lit(_STEP)), lambda c: c <= spot)
+    placed = placed.withColumn("_range", passed + F.coalesce(F.size(rest), F.lit(0))).select(*cells.columns, "_range")
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
     ranges = placed.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_r_{n}") for n in names])
-    # At most a few hundred ranges per group meet in these two windows.
+    # One row per range of a group meets in these two windows.
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     totals = ranges.select(
@@ -54,21 +54,23 @@ def cumulative(df: DataFrame, group: list[str], order: list[str], sums: dict[str
         *[F.coalesce(F.sum(f"_r_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in names],
         *[F.sum(f"_r_{n}").over(whole).alias(f"all_{n}") for n in names])
     local = placed.withColumns({f"_c_{n}": F.sum(n).over(inside) for n in names})
-    out = local.join(totals, [*keys, "_range"])
+    totals = totals.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "_range")], *totals.columns[len(keys) + 1:])
+    out = local.join(totals, _same([(k, f"_k_{k}") for k in (*keys, "_range")]))
     return out.select(
         *group, *order, *names,
         *[(F.col(f"_o_{n}") + F.col(f"_c_{n}") - F.col(n)).alias(f"before_{n}") for n in names],
         *[f"all_{n}" for n in names])
 
 
-def _one_range(cells: DataFrame, group: list[str], keys: list[str], order: list[str], names: list[str]) -> DataFrame:
-    """Running totals when every group fits one task comfortably."""
-    whole = Window.partitionBy(*keys)
-    run = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return cells.select(
-        *group, *order, *names,
-        *[(F.sum(n).over(run) - F.col(n)).alias(f"before_{n}") for n in names],
-        *[F.sum(n).over(whole).alias(f"all_{n}") for n in names])
+def _same(pairs: list[tuple[str, str]]) -> Column:
+    """Null-safe equality of several columns."""
+    return F.expr(" and ".join(f"({a} <=> {b})" for a, b in pairs))
+
+
+def _looked_up(df: DataFrame, ranks: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on columns of the same names where null equals null."""
+    other = ranks.select(*[F.col(c).alias(f"_k_{c}") if c in on else c for c in ranks.columns])
+    return df.join(other, _same([(c, f"_k_{c}") for c in on]), how).drop(*[f"_k_{c}" for c in on])
 
 
 def average_rank(dist: DataFrame) -> Column:
@@ -80,14 +82,14 @@ def percentile_rank(df: DataFrame, group: list[str], value: str, out: str, **kw)
     """Average rank over the count of known values; unknown values get no rank."""
     dist = cumulative(df.filter(F.col(value).isNotNull()), group, [value], **kw)
     ranks = dist.select(*group, value, ((F.col("before_n") + (F.col("n") + 1) / 2) / F.col("all_n")).alias(out))
-    return df.join(ranks, [*group, value], "left")
+    return _looked_up(df, ranks, [*group, value], "left")
 
 
 def row_numbers(df: DataFrame, group: list[str], order: list[str], out: str = "row_no", **kw) -> DataFrame:
     """Zero-based position of each row in a total order, and the group's size as ``group_rows``."""
     dist = cumulative(df, group, order, **kw).select(
         *group, *order, F.col("before_n").alias(out), F.col("all_n").alias("group_rows"))
-    return df.join(dist, [*group, *order])
+    return _looked_up(df, dist, [*group, *order], "inner")
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float], **kw) -> DataFrame:

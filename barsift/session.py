@@ -28,20 +28,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and Spark runs locally."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _stages(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several branches of one plan must see the same rows: the upstream
-    work runs once, and a lost executor never has to recompute it.
+    work runs once, and a lost executor never has to recompute it. The tables of a session lie in
+    one folder, which ``drop_stages`` removes once their results are written.
     """
-    path = f"{staging_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{_stages(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove every table that this session has staged; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

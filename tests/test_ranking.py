@@ -1,10 +1,15 @@
 """Distributed ranks, totals and quantiles against NumPy, with groups forced to split."""
 
+import datetime
+import os
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barsift import session
 from barsift.operators import crosssec as xs
 from barsift.operators import inference as inf
 from barsift.operators import walkforward as wf
@@ -144,3 +149,31 @@ def test_one_shuffle_serves_every_window(spark):
     got = scan.emitted(scan.decisions(scan.grid_rows(to_spark(spark, wavy("000001", 80, 1)))))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_unknown_scores_rank_last_and_stay(spark):
+    day = datetime.date(2024, 1, 2)
+    rows = spark.createDataFrame([(f"{i}", day, s, y) for i, (s, y) in enumerate([(None, 0), (0.9, 1), (0.5, 1), (None, 0), (0.1, 0)])],
+                                 "code string, date date, score double, y int")
+    ranks = {r.code: r.session_rank for r in xs.session_rank(rows).collect()}
+    assert ranks == {"0": None, "1": 0, "2": 1, "3": None, "4": 2}
+    assert {r.asked: r.precision for r in xs.rate_curve(rows, [2]).collect()} == {2: 1.0}
+    cuts = {r.n_published: r.precision for r in xs.prefix_frontier(rows).collect()}
+    assert cuts[1] == 1.0 and cuts[2] == 1.0 and cuts[5] == 0.4
+    assert sorted(r.n_published for r in xs.frontier(rows, []).collect()) == [1, 2, 3]
+    budgets = spark.createDataFrame([(day, 2)], "date date, budget int")
+    assert {r.code for r in xs.top_n_per_group(rows, budgets, ["date"]).collect()} == {"1", "2"}
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError):
+        session.staging_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://somewhere:7077")))
+
+
+def test_dropped_stages_leave_no_files(spark):
+    kept = session.staged(spark.range(5))
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    assert os.path.isdir(folder)
+    session.drop_stages(spark)
+    assert not os.path.exists(folder)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barsift.functions.columns import wilson
 from barsift.operators import scan
 from barsift.operators.context import with_kdj, with_kdj_first_value
+from barsift.operators.layers import with_ema
 from barsift.operators.cooldown import dedupe, dedupe_on_calendar, first_per_year
 from barsift.operators.grid import row_stride, scan_grid, scan_targets
 from barsift.operators.scoring import concentration, hit_rates, spearman
@@ -177,3 +178,11 @@ def test_spearman_with_ties(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 5.0), (3.0, 4.0)], "a double, b double")
     want = pd.DataFrame({"a": [1, 2, 3, 3], "b": [2, 2, 5, 4]}).corr("spearman").iloc[0, 1]
     assert abs(spearman(rows, [], "a", "b").first().rho - want) < 1e-12
+
+
+def test_slow_and_fast_means_of_one_call_keep_their_history(spark):
+    f = wavy("000001", 2500, 5)
+    got = with_ema(to_spark(spark, f), spans=(2, 500)).orderBy("date").toPandas()
+    for w in (2, 500):
+        want = f["close"].ewm(span=w, adjust=False, min_periods=w).mean()
+        pd.testing.assert_series_equal(got[f"ema{w}"], want, check_names=False, rtol=1e-9)
