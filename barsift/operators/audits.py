@@ -213,8 +213,10 @@ def stride_structure(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free hash of a table's rows and its row count."""
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*columns)).alias("fingerprint"))
+    """Order-free hash of a table's rows and its row count; the sum tells doubled rows, which cancel in the xor."""
+    h = F.xxhash64(*columns)
+    total = F.sum(h.cast("decimal(38,0)")).cast("string")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.xxhash64(F.bit_xor(h), total).alias("fingerprint"))
 
 
 def report_violations(report: DataFrame, base: DataFrame, tolerance: float = 1e-9) -> DataFrame:
@@ -245,14 +247,19 @@ def report_violations(report: DataFrame, base: DataFrame, tolerance: float = 1e-
 
 
 def coverage_problems(predictions: DataFrame, outcomes: DataFrame, strategies: DataFrame) -> DataFrame:
-    """Samples predicted twice or never, unknown strategies, and labels that are not binary."""
+    """For each strategy: samples never predicted, predicted more than once, and predicted without an outcome.
+
+    A strategy that predicts but isn't listed gets a row of its own, with unknown ``missing``.
+    """
     n = predictions.groupBy("strategy_id", "sample_id").agg(F.count(F.lit(1)).alias("_n"))
-    pairs = strategies.select("strategy_id").join(F.broadcast(outcomes.agg(F.count(F.lit(1)).alias("_want"))))
-    have = n.join(outcomes.select("sample_id"), "sample_id").groupBy("strategy_id").agg(
-        F.sum(F.least("_n", F.lit(1))).alias("_have"), _count(F.col("_n") > 1).alias("repeated"))
-    return pairs.join(have, "strategy_id", "left").select(
+    listed = strategies.select("strategy_id").join(F.broadcast(outcomes.agg(F.count(F.lit(1)).alias("_want"))))
+    known = outcomes.select("sample_id", F.lit(True).alias("_known"))
+    have = n.join(known, "sample_id", "left").groupBy("strategy_id").agg(
+        _count(F.col("_known")).alias("_have"), _count(F.col("_known") & (F.col("_n") > 1)).alias("_repeated"),
+        _count(F.col("_known").isNull()).alias("_unknown"))
+    return listed.join(have, "strategy_id", "full").select(
         "strategy_id", (F.col("_want") - F.coalesce("_have", F.lit(0))).alias("missing"),
-        F.coalesce("repeated", F.lit(0)).alias("repeated"))
+        F.coalesce("_repeated", F.lit(0)).alias("repeated"), F.coalesce("_unknown", F.lit(0)).alias("unknown"))
 
 
 def outcome_counts(outcomes: DataFrame, label: str = "label_bull") -> DataFrame:

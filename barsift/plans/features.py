@@ -144,6 +144,18 @@ def _w07(spark, folder):
     return rounded(layers.with_ema(bars(spark, folder)), [f"ema{w}" for w in (5, 10, 20, 60)])
 
 
+_MIXED = (2, 10, 60, 500)
+_MIX = ("mx as (select code, seq, " + ", ".join(f"close e{w}" for w in _MIXED) + " from s where seq=0 union all select s.code, s.seq, "
+        + ", ".join(f"mx.e{w}*(1-2e0/{w + 1}e0)+close*2e0/{w + 1}e0" for w in _MIXED) + " from mx join s on s.code=mx.code and s.seq=mx.seq+1)")
+
+
+@query("w07_ema_mixed_spans", q.with_(q.bars_cte("day"), q.SEQ, _MIX) + "select s.code, s.date, " + ", ".join(
+    f"{q.r6(f'case when seq>={w - 1} then e{w} end')} ema{w}" for w in _MIXED) + " from s join mx using (code, seq)")
+def _w07_mixed(spark, folder):
+    """Fast and slow means of one call, on daily bars."""
+    return rounded(layers.with_ema(bars(spark, folder, "day"), spans=_MIXED), [f"ema{w}" for w in _MIXED])
+
+
 @query("w08_adx", q.with_(q.BARS, q.SEQ, ADX) + f"""select s.code, s.date, {q.r6('adx14')} adx14, {q.r6('di_spread')} di_spread
   from s join adx using (code, seq)""")
 def _w08(spark, folder):

@@ -41,9 +41,14 @@ def _l01(spark, folder):
     return _label_report(labelled(spark, folder, "webpro"))
 
 
-@query("l01_forward_outcomes_504", q.with_(q.bars_cte("day"), q.SEQ, q.label_cte("low504")) + _label_sql("lab_low504"))
+#: The long horizon with a target that prices of these tables can reach.
+LONG = (504, 0.30, 0.80)
+
+
+@query("l01_forward_outcomes_504", q.with_(q.bars_cte("day"), q.SEQ, q.label_cte("low504", spec=LONG)) + _label_sql("lab_low504"))
 def _l01_504(spark, folder):
-    return _label_report(labelled(spark, folder, "low504", bars(spark, folder, "day")))
+    h, ret, floor = LONG
+    return _label_report(forward_outcomes(bars(spark, folder, "day"), h, target_return=ret, floor_ratio=floor))
 
 
 _BASE = """select count(*) evaluated_points, sum(label_bull)::bigint bull,

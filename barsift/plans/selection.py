@@ -379,17 +379,17 @@ def _tot(cols: dict[str, str], src: str = "pk") -> str:
 
 
 def _ci(block: int) -> str:
-    return popq(TOP5, PICK, _tot({"h": "sum(hit)", "c": "count(*)"}), _boot(["h", "c"], 0, 300, block)) + f"""
+    return popq(TOP5, PICK, _tot({"h": "sum(hit)", "c": "count(*)"}), _boot(["h", "c"], 0, 4000, block)) + f"""
   select (select sum(c)::bigint from tot) n_signals, (select count(*) from tot) n_dates, {q.r6('(select sum(h)/sum(c) from tot)')} "precision",
   {q.r6('quantile_cont(h/c,0.025)')} ci_low, {q.r6('quantile_cont(h/c,0.975)')} ci_high, {q.r6('avg(h/c)')} boot_mean, {q.r6('stddev_pop(h/c)')} boot_sd,
-  {block} as "block", 300 n_boot, 0.95::double as "level" from reps where c>0"""
+  {block} as "block", 4000 n_boot, 0.95::double as "level" from reps where c>0"""
 
 
 def _boot_query(block: int):
     def run(spark, folder):
         pop = population(spark, folder)
         rows = xs.top_k(pop, 5).withColumn("hit", F.col("y"))
-        return six(inf.date_bootstrap(rows, pop, n_boot=300, block=block), "precision", "ci_low", "ci_high", "boot_mean", "boot_sd")
+        return six(inf.date_bootstrap(rows, pop, n_boot=4000, block=block), "precision", "ci_low", "ci_high", "boot_mean", "boot_sd")
     return run
 
 
@@ -399,7 +399,7 @@ query("i01_block_bootstrap", _ci(10))(_boot_query(10))
 ARMS = "ar as (select *, (rk<5)::int a, (rk>=5 and rk<10)::int b from t5)"
 
 
-@query("i02_paired_bootstrap", popq(TOP5, ARMS, _tot({"ha": "sum(a*y)", "ca": "sum(a)", "hb": "sum(b*y)", "cb": "sum(b)"}, "ar"), _boot(["ha", "ca", "hb", "cb"], 3, 300, 1),
+@query("i02_paired_bootstrap", popq(TOP5, ARMS, _tot({"ha": "sum(a*y)", "ca": "sum(a)", "hb": "sum(b*y)", "cb": "sum(b)"}, "ar"), _boot(["ha", "ca", "hb", "cb"], 3, 4000, 1),
        "rd as (select ha/ca-hb/cb d from reps where ca>0 and cb>0)", "po as (select sum(ha) ha, sum(ca) ca, sum(hb) hb, sum(cb) cb, count(*) n from tot)") + f"""
   select any_value(ca)::bigint n_signals_a, any_value(cb)::bigint n_signals_b, {q.r6('any_value(ha/ca)')} precision_a, {q.r6('any_value(hb/cb)')} precision_b,
   {q.r6('any_value(ha/ca-hb/cb)')} delta, {q.r6('quantile_cont(d,0.025)')} ci_low, {q.r6('quantile_cont(d,0.975)')} ci_high, {q.r6('avg(d)')} boot_mean, {q.r6('stddev_pop(d)')} boot_sd,
@@ -408,11 +408,11 @@ def _i02(spark, folder):
     pop = population(spark, folder)
     rows = xs.session_rank(pop).withColumns({
         "a": F.col("session_rank") < 5, "b": (F.col("session_rank") >= 5) & (F.col("session_rank") < 10)})
-    return six(inf.paired_bootstrap(rows, pop, "a", "b", n_boot=300, seed=3), "precision_a", "precision_b", "delta", "ci_low", "ci_high",
+    return six(inf.paired_bootstrap(rows, pop, "a", "b", n_boot=4000, seed=3), "precision_a", "precision_b", "delta", "ci_low", "ci_high",
                "boot_mean", "boot_sd", "share_draws_a_better")
 
 
-@query("i03_contrast", popq("ar as (select *, (volume>25)::int a from pop)", _tot({"ha": "sum(a*y)", "ca": "sum(a)", "hb": "sum((1-a)*y)", "cb": "sum(1-a)"}, "ar"), _boot(["ha", "ca", "hb", "cb"], 5, 300, 5),
+@query("i03_contrast", popq("ar as (select *, (volume>25)::int a from pop)", _tot({"ha": "sum(a*y)", "ca": "sum(a)", "hb": "sum((1-a)*y)", "cb": "sum(1-a)"}, "ar"), _boot(["ha", "ca", "hb", "cb"], 5, 4000, 5),
        "po as (select sum(ha)/sum(ca) pa, sum(hb)/sum(cb) pb, sum(ca) na, sum(cb) nb from tot)",
        "cl as (select sqrt(sum(pow((ha-pa*ca)/na-(hb-pb*cb)/nb,2))) se, any_value(pa) pa, any_value(pb) pb, any_value(na) na, any_value(nb) nb from tot, po)",
        "bo as (select stddev_samp(ha/ca-hb/cb) se_boot, 2*least(avg((ha/ca-hb/cb<=0)::int), avg((ha/ca-hb/cb>=0)::int)) p_boot from reps)") + f"""
@@ -420,7 +420,7 @@ def _i02(spark, folder):
   {q.r6('sqrt(pa*(1-pa)/na+pb*(1-pb)/nb)')} se_row, {q.r6('(pa-pb)/sqrt(pa*(1-pa)/na+pb*(1-pb)/nb)')} z_row, {q.r6('(pa-pb)/se')} z_cluster from cl, bo""")
 def _i03(spark, folder):
     pop = population(spark, folder)
-    got = inf.contrast(pop.withColumn("arm", F.col("volume") > 25), pop, "arm", n_boot=300, seed=5, block=5)
+    got = inf.contrast(pop.withColumn("arm", F.col("volume") > 25), pop, "arm", n_boot=4000, seed=5, block=5)
     return six(got, "se_cluster", "rate_a", "rate_b", "se_boot", "p_boot", "delta", "se_row", "z_row", "z_cluster")
 
 
