@@ -29,13 +29,22 @@ def decisions(rows: DataFrame, strategies: Strategies | None = None, keep: tuple
 
     ``rows`` are grid bars with primitives, or already scored ones.
     """
+    return _long(rows, strategies, keep, lambda parts: parts)
+
+
+def signals(rows: DataFrame, strategies: Strategies | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The positive decisions alone: each bar's decisions are filtered before they become rows."""
+    return _long(rows, strategies, keep, lambda parts: F.filter(parts, lambda d: d["score"] >= d["threshold"]))
+
+
+def _long(rows: DataFrame, strategies: Strategies | None, keep: tuple[str, ...], which) -> DataFrame:
     todo = strategies or Strategies()
     have = all(s in rows.columns for _, s, _ in todo.cutoffs())
     table = rows if have else scored(rows, todo, keep)
-    parts = [
+    parts = F.array(*[
         F.struct(F.lit(n).alias("strategy_id"), F.col(s).alias("score"), F.lit(cut).alias("threshold"))
-        for n, s, cut in todo.cutoffs()]
-    out = table.select("code", "date", *keep, F.explode(F.array(*parts)).alias("_d"))
+        for n, s, cut in todo.cutoffs()])
+    out = table.select("code", "date", *keep, F.explode(which(parts)).alias("_d"))
     return out.select(
         "code", "date", *keep, "_d.strategy_id", "_d.score", "_d.threshold",
         (F.col("_d.score") >= F.col("_d.threshold")).cast("int").alias("prediction"))

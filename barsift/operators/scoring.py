@@ -204,19 +204,21 @@ def confusion(scored: DataFrame, keys: list[str], predicted: str = "prediction",
 def disagreement(decisions: DataFrame, sample: list[str], names: list[str]) -> DataFrame:
     """Share of samples on which two strategies differ, for every pair.
 
-    Each sample becomes one row of flags, so the pairs are counted in a single aggregate and
-    no pair of rows is ever formed.
+    Each sample becomes one word of flags (yes, no or unknown). Equal words are counted first, so the
+    pairs are formed once per different word and never per sample.
     """
     wide = decisions.groupBy(*sample).agg(*[
         F.max(F.when(F.col("strategy_id") == n, F.col("prediction"))).alias(n) for n in names])
-    pairs = [(x, y) for i, x in enumerate(names) for y in names[i + 1:]]
-    got = wide.agg(*[f for i, (x, y) in enumerate(pairs) for f in (
-        F.avg((F.col(x) != F.col(y)).cast("int")).alias(f"_d{i}"),
-        F.count(F.col(x) + F.col(y)).alias(f"_n{i}"))])
-    rows = F.array(*[F.struct(F.lit(x).alias("strategy_a"), F.lit(y).alias("strategy_b"),
-                              F.col(f"_n{i}").alias("samples"), F.col(f"_d{i}").alias("disagreement"))
-                     for i, (x, y) in enumerate(pairs)])
-    return got.select(F.explode(rows).alias("_p")).select("_p.*")
+    flags = F.concat(*[F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in names])
+    words = wide.groupBy(flags.alias("word")).agg(F.count(F.lit(1)).alias("_w"))
+    pairs = F.array(*[F.struct(F.lit(x).alias("strategy_a"), F.lit(y).alias("strategy_b"), F.lit(i).alias("i"), F.lit(j).alias("j"))
+                      for i, x in enumerate(names) for j, y in enumerate(names) if i < j])
+    of = words.select("word", "_w", F.explode(pairs).alias("_p")).select(
+        "_w", "_p.strategy_a", "_p.strategy_b", *[F.substring("word", F.col(f"_p.{k}") + 1, F.lit(1)).alias(k) for k in "ij"])
+    both = (F.col("i") != "-") & (F.col("j") != "-")
+    n = F.sum(F.when(both, F.col("_w")).otherwise(0))
+    return of.groupBy("strategy_a", "strategy_b").agg(
+        n.alias("samples"), ratio(F.sum(F.when(both & (F.col("i") != F.col("j")), F.col("_w")).otherwise(0)), n).alias("disagreement"))
 
 
 def concentration(signals: DataFrame, keys: list[str], hit: str = "hit") -> DataFrame:

@@ -38,7 +38,7 @@ def report_signals(spark, folder, regimes: dict | None = None) -> DataFrame:
     panel = outcomes_by_regime(bars(spark, folder), regimes or {"webpro": REGIMES["webpro"]})
     cols = ("label_bull", "label_strict_low", "label_joint", "label_resolved")
     keep = tuple(f"{c}__webpro" for c in cols)
-    got = scan.emitted(scan.decisions(scan.grid_rows(panel), Strategies(NAMES), keep))
+    got = scan.signals(scan.grid_rows(panel), Strategies(NAMES), keep)
     return staged(got.withColumnsRenamed({f"{c}__webpro": c for c in cols}))
 
 
@@ -212,7 +212,7 @@ def _p12(spark, folder):
 
 @query("j01_signals_with_labels", sigq() + "select strategy_id, code, date, label_bull, label_resolved from sig")
 def _j01(spark, folder):
-    got = scan.emitted(scan.decisions(scan.grid_rows(bars(spark, folder)), Strategies(NAMES)))
+    got = scan.signals(scan.grid_rows(bars(spark, folder)), Strategies(NAMES))
     lab = labelled(spark, folder, "webpro").select("code", "date", "label_bull", "label_resolved")
     return got.join(lab, ["code", "date"], "left").select("strategy_id", "code", "date", "label_bull", "label_resolved")
 

@@ -99,7 +99,7 @@ def signals(spark, folder, regimes: dict | None = None) -> DataFrame:
     regimes = regimes or {"webpro": REGIMES["webpro"]}
     panel = outcomes_by_regime(bars(spark, folder), regimes)
     keep = tuple(f"{c}__{r}" for r in regimes for c in _LABELS)
-    return scan.emitted(scan.decisions(scan.grid_rows(panel), keep=keep))
+    return scan.signals(scan.grid_rows(panel), keep=keep)
 
 
 def webpro_signals(spark, folder) -> DataFrame:
@@ -202,7 +202,7 @@ def hit_rate_table(spark, folder):
     cols = ("label_bull", "label_strict_low", "label_joint", "label_resolved")
     keep = tuple(f"{c}__{r}" for r in PANEL_REGIMES for c in cols)
     grid = staged(scan.scored(scan.grid_rows(panel), keep=keep))
-    got = scan.emitted(scan.decisions(grid, keep=keep))
+    got = scan.signals(grid, keep=keep)
     long = long_outcomes(got, ["strategy_id", "code", "date"], PANEL_REGIMES, cols)
     report = scoring.hit_rates(long, keys).withColumn("population_id", F.lit(scoring.population_id("scanned")))
     base = scoring.base_rates(long_outcomes(grid, ["code", "date"], PANEL_REGIMES, cols), ["regime"])
