@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.panel import session_index
+from ..sources.panel import observed_calendar, session_index
 
 
 # Part of every candidate id.
@@ -48,12 +48,16 @@ def label_events(panel: DataFrame, picks: DataFrame, calendar: DataFrame | None
     """
     if "candidate_id" not in picks.columns:
         picks = picks.withColumn("candidate_id", F.concat_ws("|", "code", F.date_format("date", "yyyy-MM-dd")))
-    days = session_index(panel if calendar is None else calendar)
+    days = session_index(panel if calendar is None else observed_calendar(panel, calendar))
+    twice = repeated_candidates(picks).agg(F.count(F.lit(1)).alias("_twice"))
+    picks = picks.join(F.broadcast(twice)).filter(
+        F.when(F.col("_twice") > 0, F.raise_error(F.lit("repeated candidate ids")).cast("boolean")).otherwise(True))
     size = days.agg(F.count(F.lit(1)).alias("_size"))
     where = days.withColumnRenamed("session_id", "_sid")
     c = picks.select("candidate_id", "code", F.col("date").alias("signal_date")).join(
         where.select(F.col("date").alias("signal_date"), "_sid"), "signal_date", "left").join(F.broadcast(size))
-    bars = panel.join(where, "date").select("code", "_sid", "open", "low", "close")
+    off = F.raise_error(F.concat(F.lit("bar off the calendar: "), F.col("date").cast("string"))).cast("bigint")
+    bars = panel.join(where, "date", "left").select("code", F.coalesce(F.col("_sid").cast("bigint"), off).alias("_sid"), "open", "low", "close")
     # Entry bar of the next session.
     entry = bars.select("code", (F.col("_sid") - 1).alias("_sid"), F.col("open").alias("_open"))
     c = c.join(entry, ["code", "_sid"], "left")
@@ -125,12 +129,13 @@ def minimum_sessions(horizon: int) -> int:
 
 
 def mature_splits(calendar: DataFrame, picks: DataFrame, horizon: int = 504, min_train: int = 1, min_dev: int = 1,
-                  dev_block: int = 63) -> DataFrame:
+                  dev_block: int = 63, panel: DataFrame | None = None) -> DataFrame:
     """Every development start with enough matured training and development candidates.
 
-    One row per session: counts of candidates per session and their running sums.
+    One row per session: counts of candidates per session and their running sums. With a ``panel`` the
+    calendar ends with its last bar.
     """
-    days = session_index(calendar)
+    days = session_index(calendar if panel is None else observed_calendar(panel, calendar))
     counts = picks.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
     every = Window.partitionBy(F.lit(0))
     past = every.orderBy("session_id")

@@ -56,7 +56,7 @@ def estimator(cfg: Config):
 def pipeline(cfg: Config) -> Pipeline:
     """Median imputation learned in training, scaling where the model needs it, then the estimator."""
     filled = [f"_f_{c}" for c in cfg.features]
-    stages = [Imputer(strategy="median", inputCols=list(cfg.features), outputCols=filled, relativeError=0.001),
+    stages = [Imputer(strategy="median", inputCols=list(cfg.features), outputCols=filled, relativeError=0.0),
               VectorAssembler(inputCols=filled, outputCol="_raw" if cfg.model == "logistic" else "features")]
     if cfg.model == "logistic":
         stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True))

@@ -206,6 +206,24 @@ def _l11_query(h: int, up: float, every: str):
 
 
 query("l11_event_labels", _l11_sql(6, 1.2, "week"))(_l11_query(6, 1.2, "week"))
+
+
+def scheduled(panel: DataFrame) -> DataFrame:
+    """The panel's sessions and thirty weeks after its last."""
+    last = panel.agg(F.max("date").alias("d"))
+    ahead = last.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.date_add("d", (k * 7).cast("int")))).alias("date"))
+    return panel.select("date").distinct().unionByName(ahead)
+
+
+@query("l11_event_labels_scheduled", _l11_sql(6, 1.2, "week"))
+def _l11_ahead(spark, folder):
+    """A calendar that runs past the data changes nothing."""
+    panel = bars(spark, folder)
+    sparse = holey(panel)
+    # The last session must have a bar for the two calendars to end alike.
+    got = hz.label_events(sparse, sparse.filter(F.col("volume") > 30).select("code", "date"), scheduled(panel), 6, 1.2)
+    return got.select("code", "signal_date", "outcome_class", "label_joint", "entry_open",
+                      F.col("bars_scanned").cast("bigint").alias("bars_scanned"), "label_end", "deadline", "training_eligible")
 query("j07_event_labels_dense", _l11_sql(40, 1.3, "week").replace("%7<>0)", "%1=0)"))(
     lambda spark, folder: (lambda panel: hz.label_events(panel, panel.filter(F.col("volume") > 30).select("code", "date"), panel, 40, 1.3).select(
         "code", "signal_date", "outcome_class", "label_joint", "entry_open", F.col("bars_scanned").cast("bigint").alias("bars_scanned"),
@@ -222,6 +240,18 @@ def _l13(spark, folder):
     return hz.mature_splits(panel, picks, 60)
 
 
+_L13 = q.with_(*LAYER_PARTS, _CAL, """cn as (select sid, date, n, (select count(*) from lay where lay.date=cal.date and recall_tier>=3) k from cal),
+cm as (select *, case when sid<=n-1-60 then k else 0 end m from cn)""")
+
+
+@query("l13_mature_splits_scheduled", _L13 + """select a.date dev_start, (select max(date) from cal where sid<=a.sid+62) dev_end,
+  (select coalesce(sum(m),0)::bigint from cm where sid+60<a.sid) n_train, (select sum(m)::bigint from cm where sid between a.sid and a.sid+62) n_dev, 60 horizon
+  from cm a where a.sid>=1 and (select coalesce(sum(m),0) from cm where sid+60<a.sid)>=1 and (select sum(m) from cm where sid between a.sid and a.sid+62)>=1""")
+def _l13_ahead(spark, folder):
+    panel = bars(spark, folder)
+    return hz.mature_splits(scheduled(panel), hz.candidates(layers.with_layers(panel), 3), 60, panel=panel)
+
+
 @query("l13_split_support", q.with_(*LAYER_PARTS, _CAL, """cn as (select sid, date, n, (select count(*) from lay where lay.date=cal.date and recall_tier>=3) k from cal),
 cm as (select *, case when sid<=n-1-60 then k else 0 end m from cn)""") + """select (select count(*) from cal) calendar_sessions, count(*) n_legal_splits, min(a.date) first_dev_start, 60 horizon, 122 minimum_sessions
   from cm a where a.sid>=1 and (select coalesce(sum(m),0) from cm where sid+60<a.sid)>=1 and (select sum(m) from cm where sid between a.sid and a.sid+62)>=1""")

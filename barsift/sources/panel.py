@@ -189,6 +189,13 @@ def key_problems(panel: DataFrame, calendar: DataFrame | None = None) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def observed_calendar(panel: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Calendar sessions between the first and the last bar: scheduled days ahead are no follow-up."""
+    seen = panel.agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    days = calendar.select("date").distinct().join(F.broadcast(seen))
+    return days.filter(F.col("date").between(F.col("_first"), F.col("_last"))).select("date")
+
+
 def session_index(dates: DataFrame) -> DataFrame:
     """Distinct dates with their position. The window runs over the calendar, not the panel."""
     return dates.select("date").distinct().withColumn(

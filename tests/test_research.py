@@ -93,7 +93,12 @@ def test_missing_bars_and_prices(spark):
     assert outcome(spark, early, days).outcome_class == "risk"
     assert outcome(spark, f.head(100)).outcome_class == "pending_maturity"
     assert outcome(spark, f.head(1)).outcome_class == "pending_entry_calendar"
-    assert outcome(spark, f.head(60).drop(index=range(50, 60)), days[:60]).outcome_class == "unknown_missing_bar"
+    # Sessions after the last bar of any code aren't observed yet; those with another code's bars are.
+    short = f.head(60).drop(index=range(50, 60))
+    assert outcome(spark, short, days[:60]).outcome_class == "pending_maturity"
+    both = to_spark(spark, short, f.head(60).assign(code="000002"))
+    picks = both.filter("code = '000001'").orderBy("date").limit(1).select("code", "date")
+    assert hz.label_events(both, picks).first().outcome_class == "unknown_missing_bar"
 
 
 def test_split_support(spark):
@@ -191,3 +196,13 @@ def test_label_like_feature_names_are_refused(spark):
     with pytest.raises(ValueError):
         matrix.checked_features(df, ["forward_max"])
     assert matrix.group_membership(spark, ["ret1", "odd"]).filter("state = 'unmapped'").count() == 1
+
+
+def test_events_fail_closed_on_keys_and_ids(spark):
+    panel = to_spark(spark, wavy("000001", 30, 2))
+    picks = panel.limit(3).select("code", "date")
+    calendar = panel.select("date").filter("dayofweek(date) <> 4")
+    with pytest.raises(Exception, match="off the calendar"):
+        hz.label_events(panel, picks.join(calendar, "date"), calendar, 5).collect()
+    with pytest.raises(Exception, match="repeated candidate"):
+        hz.label_events(panel, picks.unionByName(picks), None, 5).collect()
