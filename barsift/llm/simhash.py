@@ -45,17 +45,17 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the 64 bits of every row's whole text as a signed long; 0 where it has no word."""
+    """(doc_id, t, fp): a hash of the text, and the 64 bits of the whole text as a signed long; 0 where it has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             fp = [fingerprint(t, words) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                [part.column("doc_id"), part.column("t"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "t", "fp"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), utf8(F.col(text)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, t bigint, fp bigint")
 
 
 def _bits(first: int, width: int) -> int:
@@ -161,6 +161,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     like any other. A null id is kept on its row and never chosen; a component of null ids alone has
     a null component. Repeated rows give repeated rows. No rows give none.
     """
+    return _judged(docs, text, doc_id).drop("t")
+
+
+def _judged(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = staged(fingerprints(docs, text, doc_id))
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp")))
@@ -173,7 +177,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     looked = looked.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     return salted.join(looked, ["fp", "_salt"]).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", "t", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -182,14 +186,18 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     Of repeated rows with that id one stays, the first by the text's bytes. Of a component whose ids are all null
     one row per different text stays.
     """
-    judged = near_duplicates(docs, text, doc_id)
-    stays = staged(judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
-    rows = docs.join(stays, docs[doc_id].eqNullSafe(stays["_id"]))
-    single = F.col(doc_id).isNotNull() & (F.col("_n") == 1)
-    once = rows.filter(single).drop("_id", "_n")
+    judged = staged(_judged(docs, text, doc_id))
+    again = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).filter("n > 1 or _id is null").select("_id")
+    again = staged(again)
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # The list of those that go is short beside the documents, and one anti join leaves their order and place alone.
+    gone = staged(judged.filter(~same & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).unionByName(again).distinct())
+    once = docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left_anti")
     # Ids that occur again: one row of each, by its text; of rows without id, one of each text.
-    kept = [c for c in docs.columns]
-    again = rows.filter(~single).withColumn("_text", F.when(F.col(doc_id).isNull(), F.col(text)))
-    first = F.min(F.struct(F.col(text).alias("_by"), F.struct(*kept).alias("_row"))).alias("_first")
-    again = again.groupBy("_id", "_text").agg(first).select("_first._row.*")
-    return once.unionByName(again)
+    stays = judged.filter(same).join(again, judged["doc_id"].eqNullSafe(again["_id"]), "left_semi")
+    stays = staged(stays.select(F.col("doc_id").alias("_id"), "t").distinct())
+    rows = docs.join(stays, docs[doc_id].eqNullSafe(stays["_id"]) & (F.xxhash64(docs[text]) == stays["t"]), "left_semi")
+    kept = docs.columns
+    keyed = rows.select(F.col(doc_id).alias("_id"), F.when(F.col(doc_id).isNull(), F.col(text)).alias("_text"),
+                        F.struct(F.col(text).alias("_by"), F.struct(*kept).alias("_row")).alias("_one"))
+    return once.unionByName(keyed.groupBy("_id", "_text").agg(F.min("_one").alias("_one")).select("_one._row.*"))
