@@ -108,6 +108,7 @@ def _top(queries: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray,
     """The k best rows of a block for each query, itself left out; ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
+    longest = np.linalg.norm(x, axis=1).max()
     out_q, out_v, out_s = [], [], []
     for a in range(0, len(qids), 256):
         s = queries[a:a + 256] @ x.T
@@ -117,8 +118,9 @@ def _top(queries: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray,
             bar = -np.partition(-s, k - 1, axis=1)[:, k - 1:k]
         else:
             bar = np.full((len(own), 1), -np.inf)
-        # A little under the bar, so that the later exact product decides ties.
-        r, c = np.nonzero((s >= bar - 1e-9) & (s > -np.inf))
+        # A little under the bar, by what sums of products may round, so that the later exact product decides ties.
+        slack = 1e-12 * np.linalg.norm(queries[a:a + 256], axis=1, keepdims=True) * longest
+        r, c = np.nonzero((s >= bar - slack) & (s > -np.inf))
         rank = np.lexsort((ids[c], -s[r, c], r))
         r, c = r[rank], c[rank]
         start = np.searchsorted(r, r, "left")
