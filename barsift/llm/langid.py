@@ -19,6 +19,8 @@ ADDED = 0.5
 MAX_LANGUAGES = 256
 #: Words whose bucket lists a task remembers before it starts anew; a matter of memory, not of results.
 _REMEMBERED = 200_000
+#: Words whose n-grams are listed at once.
+_LISTED = 8_192
 _UNKNOWN = "und"
 
 
@@ -46,6 +48,12 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found[order].astype(np.int64), np.cumsum(np.bincount(owner, minlength=len(words)))
 
 
+def _slices(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n-grams of all words, some words at a time: number of the first word, buckets, list ends."""
+    for a in range(0, len(words), _LISTED):
+        yield a, *ngram_buckets(words[a:a + _LISTED])
+
+
 def _words(text: bytes) -> list[str]:
     return text.decode("utf-8", "replace").lower().split()
 
@@ -74,10 +82,9 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
                     seen[w] = seen.get(w, 0) + 1
             for lang, seen in by.items():
                 total = held.setdefault(lang, np.zeros(BUCKETS))
-                if seen:
-                    grams, ends = ngram_buckets(list(seen))
-                    n = np.repeat(np.fromiter(seen.values(), np.float64, len(seen)), np.diff(ends, prepend=0))
-                    total += np.bincount(grams, n, BUCKETS)
+                uses = np.fromiter(seen.values(), np.float64, len(seen))
+                for a, grams, ends in _slices(list(seen)):
+                    total += np.bincount(grams, np.repeat(uses[a:a + len(ends)], np.diff(ends, prepend=0)), BUCKETS)
         for lang, total in held.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([
@@ -141,9 +148,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                     ids.append(i)
                 ends.append(len(ids))
             if fresh:
-                grams, stop = ngram_buckets(fresh)
-                new = np.add.reduceat(matrix[grams], np.concatenate([[0], stop[:-1]]), axis=0)
-                sums = np.concatenate([sums, new])
+                new = [np.add.reduceat(matrix[grams], np.concatenate([[0], stop[:-1]]), axis=0) for _, grams, stop in _slices(fresh)]
+                sums = np.concatenate([sums, *new])
             n = np.diff(np.array(ends), prepend=0)
             total = np.tile(prior, (len(n), 1))
             if ids and languages:
