@@ -19,8 +19,10 @@ LEAF = 256
 #: Queries that calibrate, and the recall that is asked of them.
 CALIBRATION = 128
 RECALL = 0.97
-#: Rows of a leaf that one task compares with its queries; larger leaves are split.
+#: Rows of a block, the unit that is compared: neighbouring small leaves share one, large leaves are split.
 BLOCK = 4_096
+#: Queries that are compared with a block at once.
+QUERIES = 4_096
 _ROUNDS = 8
 
 
@@ -160,8 +162,9 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = RECALL, vec_i
     """(query_id, rank, vec_id, score): for each query row the k nearest found by inner product.
 
     ``is_query`` is a condition on ``vec_id``. The tree is fitted on a bounded sample of at most
-    ``SAMPLE`` different vectors (those with the least hashes) and every row is then placed in a leaf;
-    a leaf of over ``BLOCK`` rows is split in blocks that are searched apart. Products rank vectors of
+    ``SAMPLE`` different vectors (those with the least hashes) and every row is then placed in a leaf.
+    Rows are compared in blocks of about ``BLOCK``: a visited leaf brings its block, with the leaves
+    beside it, or its blocks, if it is large; each block gives a query at most k rows. Products rank vectors of
     unequal length as well: the queue takes the largest product with a centroid first. Leaf visits
     are widened until ``CALIBRATION`` queries, compared with all rows by brute force, reach ``recall``;
     so many leaves are visited for every query. Scores are double precision on the given vectors, ties go to
@@ -197,10 +200,21 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = RECALL, vec_i
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(leaf)], ["vec_id", "v", "leaf"])
 
     placed = staged(distinct.select("vec_id", "v").mapInArrow(place, "vec_id bigint, v array<double>, leaf bigint"))
-    size = placed.groupBy("leaf").agg(F.count("*").alias("n"))
     # One row per leaf, and the tree's sample bounds the leaves.
-    blocks = size.select("leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    blocked = staged(placed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks"))
+    sizes = dict(placed.groupBy("leaf").agg(F.count("*").alias("n")).collect())
+    first, count, block, room = {}, {}, 0, BLOCK
+    for leaf in range(tree.leaves):
+        n = sizes.get(leaf, 0)
+        if n > room and room < BLOCK:
+            block, room = block + 1, BLOCK
+        first[leaf], count[leaf] = block, max(1, -(-n // BLOCK))
+        if n >= BLOCK:
+            block, room = block + count[leaf], BLOCK
+        else:
+            room -= n
+    table = spark.createDataFrame([(leaf, first[leaf], count[leaf]) for leaf in range(tree.leaves)], "leaf bigint, first int, count int")
+    blocked = placed.join(F.broadcast(table), "leaf").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("count")).cast("int"))
+    blocked = staged(blocked.select("block", "vec_id", "v"))
 
     queries = good.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min_by("v", key).alias("v"))
     trial = [(r[0], r[1]) for r in queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).collect()]
@@ -212,18 +226,22 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = RECALL, vec_i
     needed = np.sort([place_of[q][leaf] + 1 for q, leaf in truth.itertuples(index=False)])
     visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
 
+    # Queries meet blocks in runs of a bounded number; blocks are copied to the runs.
+    runs = queries.count() // QUERIES + 1
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tree.__new__(Tree)
         t.__dict__ = held.value
         for batch in batches:
             x = _matrix(batch.column("v"))
-            leaves = [t.best_first(q, visits) for q in x]
-            at = np.repeat(np.arange(len(x)), [len(v) for v in leaves])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)),
-                                              pa.array(np.concatenate(leaves) if leaves else [], pa.int64())], ["query_id", "q", "leaf"])
+            of = [sorted({first[leaf] + i for leaf in t.best_first(q, visits) for i in range(count[leaf])}) for q in x]
+            at = pa.array(np.repeat(np.arange(len(x)), [len(v) for v in of]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("vec_id", "v", "run")), pa.array([b for v in of for b in v], pa.int32())],
+                                             ["query_id", "q", "run", "block"])
 
-    visited = queries.select("vec_id", "v").mapInArrow(visit, "query_id bigint, q array<double>, leaf bigint")
-    visited = visited.join(F.broadcast(blocks), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    run = F.pmod(F.xxhash64("vec_id"), F.lit(runs)).cast("int").alias("run")
+    visited = queries.select("vec_id", "v", run).mapInArrow(visit, "query_id bigint, q array<double>, run int, block int")
+    copied = blocked.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -233,5 +251,5 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = RECALL, vec_i
                         _matrix(right.column("v").combine_chunks()), right.column("vec_id").to_numpy(), k)
         return pa.table([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
-    pairs = visited.groupBy("leaf", "block").cogroup(blocked.groupBy("leaf", "block")).applyInArrow(compare, _FOUND)
+    pairs = visited.groupBy("block", "run").cogroup(copied.groupBy("block", "run")).applyInArrow(compare, _FOUND)
     return _best(pairs, k)

@@ -172,6 +172,8 @@ def vectors(n=700, d=8, seed=2):
 
 def test_neighbours_reach_their_recall(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF", 20)
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "QUERIES", 7)
     x = vectors()
     rows = [(i, v, 0) for i, v in enumerate(x.tolist())] + [(2000 + i, x[3].tolist(), 0) for i in range(300)]
     bad = [(3000, None, 0), (3020, [0.0] * 8, 0), (3040, [1.0, None, *[0.0] * 6], 0), (3060, [float("nan"), *[1.0] * 7], 0), (3080, [float("inf"), *[1.0] * 7], 0), (None, [1.0] * 8, 0)]
