@@ -76,7 +76,7 @@ def fit_scores(train: DataFrame, rows: DataFrame, cfg: Config) -> DataFrame:
 
 
 def evaluate_fold(rows: DataFrame, cfg: Config) -> DataFrame:
-    """One fold: ``rows`` carry a role of train or test. Empty where either side is too small.
+    """One fold: ``rows`` carry a role of train or test. A fold too small on either side is a row that says so.
 
     The threshold is the training score that publishes the target rate; it is applied unchanged
     to the test rows.
@@ -85,7 +85,9 @@ def evaluate_fold(rows: DataFrame, cfg: Config) -> DataFrame:
     live = rows.filter(y.isNotNull() & F.col("role").isin("train", "test"))
     size = {r["role"]: r["n"] for r in live.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
     if size.get("train", 0) < cfg.min_train or size.get("test", 0) < cfg.min_test:
-        return live.sparkSession.createDataFrame([], FOLD_SCHEMA)
+        known = {"config": cfg.name, "model": cfg.model, "target_rate": cfg.target_rate, "status": "insufficient rows",
+                 "n_train": size.get("train", 0), "n_test": size.get("test", 0)}
+        return live.sparkSession.createDataFrame([tuple(known.get(c.split()[0]) for c in FOLD_SCHEMA.split(", "))], FOLD_SCHEMA)
     live = live.select("code", "date", "role", cfg.label, *cfg.features)
     scored = staged(fit_scores(live.filter("role = 'train'"), live, cfg))
     cut = threshold_for_rate(scored.filter("role = 'train'"), cfg.target_rate, []).select("threshold")
@@ -100,14 +102,14 @@ def evaluate_fold(rows: DataFrame, cfg: Config) -> DataFrame:
         F.countDistinct(F.when(test & p, F.col("code"))).alias("distinct_stocks"),
         F.countDistinct(F.when(test & p, F.col("date"))).alias("distinct_dates"))
     return got.withColumns({
-        "config": F.lit(cfg.name), "model": F.lit(cfg.model), "target_rate": F.lit(cfg.target_rate),
+        "config": F.lit(cfg.name), "model": F.lit(cfg.model), "target_rate": F.lit(cfg.target_rate), "status": F.lit("ok"),
         "lift": ratio("precision", "base_rate")}).select(*[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
 
 
 FOLD_SCHEMA = (
     "config string, model string, target_rate double, threshold double, n_train bigint, n_test bigint, positives bigint, "
     "base_rate double, insample_signals bigint, insample_precision double, signals bigint, precision double, "
-    "distinct_stocks bigint, distinct_dates bigint, lift double")
+    "distinct_stocks bigint, distinct_dates bigint, lift double, status string")
 
 
 def walk_forward(rows: DataFrame, plan: DataFrame, cfg: Config, fold_ids: Iterable[int]) -> DataFrame:
@@ -126,7 +128,7 @@ def search(rows: DataFrame, plan: DataFrame, configs: list[Config], fold_ids: li
     folds = per[0]
     for p in per[1:]:
         folds = folds.unionByName(p)
-    return pool_folds(staged(folds), ["config"])
+    return pool_folds(staged(folds).filter("status = 'ok'"), ["config"])
 
 
 PRESETS = {

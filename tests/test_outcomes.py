@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from panels import flat, to_spark, wavy
+from panels import steady, to_spark, wavy
 
 from barsift.operators.outcomes import close_outcomes, forward_outcomes, realised_return
 
@@ -13,7 +13,7 @@ def first(df, columns):
 
 @pytest.mark.parametrize("high, bull", [(40.0, 0), (41.0, 1)])
 def test_fourfold_target_is_strict(spark, high, bull):
-    f = flat(n=40)
+    f = steady(n=40)
     f.loc[5, "high"] = high
     got = first(forward_outcomes(to_spark(spark, f), 30), ["label_bull", "label_resolved"])
     assert got.label_resolved and got.label_bull == bull
@@ -21,20 +21,20 @@ def test_fourfold_target_is_strict(spark, high, bull):
 
 @pytest.mark.parametrize("high, bull", [(13.0, 0), (13.0 + 1e-6, 1), (13.0 - 1e-6, 0)])
 def test_thirty_percent_boundary(spark, high, bull):
-    f = flat(n=40)
+    f = steady(n=40)
     f.loc[5, "high"] = high
     assert first(forward_outcomes(to_spark(spark, f), 30, target_return=0.30), ["label_bull"]).label_bull == bull
 
 
 def test_short_history_is_unknown_not_negative(spark):
-    rows = forward_outcomes(to_spark(spark, flat(n=20)), 60).collect()
+    rows = forward_outcomes(to_spark(spark, steady(n=20)), 60).collect()
     assert all(r.label_bull is None and r.label_joint is None and not r.label_resolved for r in rows)
     assert sum(r.forward_max_return is not None for r in rows) == 19
 
 
 @pytest.mark.parametrize("low, held", [(7.4, 0), (8.0, 1), (7.999, 0)])
 def test_floor_is_inclusive(spark, low, held):
-    f = flat(n=40)
+    f = steady(n=40)
     f.loc[5, "low"] = low
     f.loc[8, "high"] = 41.0
     got = first(forward_outcomes(to_spark(spark, f), 30), ["label_bull", "label_strict_low", "label_joint"])
@@ -42,13 +42,13 @@ def test_floor_is_inclusive(spark, low, held):
 
 
 def test_entry_is_next_open(spark):
-    f = flat(n=40)
+    f = steady(n=40)
     f.loc[1, "open"] = 20.0
     assert first(forward_outcomes(to_spark(spark, f), 30), ["entry_open"]).entry_open == 20.0
 
 
 def test_touch_does_not_stop_the_path(spark):
-    f = flat(n=40)
+    f = steady(n=40)
     f.loc[1, ["high", "low"]] = [13.00, 9.00]
     f.loc[2, ["high", "low"]] = [13.10, 7.00]
     got = first(forward_outcomes(to_spark(spark, f), 10, target_return=0.30), ["bars_to_target", "label_joint"])
@@ -56,7 +56,7 @@ def test_touch_does_not_stop_the_path(spark):
 
 
 def test_codes_do_not_leak_into_each_other(spark):
-    rows = forward_outcomes(to_spark(spark, flat("000001", 12), flat("000002", 12, 100.0)), 10, target_return=0.3)
+    rows = forward_outcomes(to_spark(spark, steady("000001", 12), steady("000002", 12, 100.0)), 10, target_return=0.3)
     assert {r.label_bull for r in rows.filter("label_resolved").collect()} == {0}
 
 
@@ -79,12 +79,12 @@ def test_both_hit_searches_match_brute_force(spark, horizon):
 
 
 def test_close_label_and_realised_return(spark):
-    f = flat(n=15)
+    f = steady(n=15)
     f.loc[5, "close"] = 13.0
     f.loc[6, "close"] = 13.5
     f.loc[1, "open"] = 0.0
     got = close_outcomes(to_spark(spark, f), 10, 0.30).orderBy("date").collect()
     assert got[0].label_close is None and got[0].entry_state == "bad_entry"
     assert got[1].label_close == 1 and got[14].entry_state == "no_entry"
-    ret = realised_return(to_spark(spark, flat(n=15)), 10).orderBy("date").collect()
+    ret = realised_return(to_spark(spark, steady(n=15)), 10).orderBy("date").collect()
     assert ret[0].return_h == 0.0 and ret[5].return_h is None

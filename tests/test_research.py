@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from panels import flat, to_spark, wavy
+from panels import steady, to_spark, wavy
 from pyspark.sql import functions as F
 
 from barsift.functions.windows import ewm
@@ -56,7 +56,7 @@ def test_tiers_nest_and_ignore_the_future(spark):
 
 
 def horizon_panel(n=510):
-    f = flat("000001", n)
+    f = steady("000001", n)
     f["high"], f["low"] = 10.1, 9.9
     return f
 
@@ -113,7 +113,7 @@ def test_split_support(spark):
 def impact_frame(n=90):
     t = np.arange(n)
     close = 20 * np.exp(np.cumsum(np.where(t % 2 == 0, 0.02, -0.018)))
-    f = flat("000001", n)
+    f = steady("000001", n)
     f["close"], f["open"] = close, close
     f["high"], f["low"] = close * 1.01, close * 0.99
     f["volume"] = 1000 + 200 * np.sin(t)
@@ -131,7 +131,7 @@ def test_volume_impact_scale_prefix_and_gaps(spark):
     scaled = vir(spark, f.assign(volume=f["volume"] * 7))
     assert np.allclose(base["vir"].astype(float), scaled["vir"].astype(float), equal_nan=True)
     assert np.allclose(vir(spark, f.head(60))["vir"].astype(float), base["vir"].head(60).astype(float), equal_nan=True)
-    other = flat("000002", 90)
+    other = steady("000002", 90)
     gap = rsr.with_volume_impact(src.with_session_id(to_spark(spark, f.drop(index=70), other)))
     rows = gap.filter("code = '000001'").orderBy("date").toPandas()
     assert rows["vir"].iloc[70:88].isna().all() and rows["vir"].iloc[60] == pytest.approx(base["vir"].iloc[60])
@@ -152,7 +152,7 @@ def test_family_ecdf_is_frozen(spark):
 
 
 def test_densify_inserts_unknown_bars_inside_the_span(spark):
-    f = flat("000001", 10)
+    f = steady("000001", 10)
     cal = spark.createDataFrame(pd.DataFrame({"date": list(f["date"]) + list(pd.bdate_range("2025-01-01", periods=3).date)}), "date date")
     got = src.densify(to_spark(spark, f.drop(index=4)), cal)
     assert got.count() == 10 and [str(r.date) for r in got.filter("close is null").collect()] == [str(f["date"][4])]
@@ -192,7 +192,7 @@ def test_storage_round_trips(spark, tmp_path):
 
 
 def test_label_like_feature_names_are_refused(spark):
-    df = to_spark(spark, flat()).withColumn("forward_max", F.lit(1.0))
+    df = to_spark(spark, steady()).withColumn("forward_max", F.lit(1.0))
     with pytest.raises(ValueError):
         matrix.checked_features(df, ["forward_max"])
     assert matrix.group_membership(spark, ["ret1", "odd"]).filter("state = 'unmapped'").count() == 1

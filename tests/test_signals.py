@@ -2,7 +2,7 @@
 
 import pandas as pd
 import pytest
-from panels import flat, to_spark, wavy
+from panels import steady, to_spark, wavy
 from pyspark.sql import functions as F
 
 from barsift.functions.columns import wilson
@@ -63,13 +63,13 @@ def test_wilson(spark, hits, n, low, high):
 
 
 def test_grid_counts(spark):
-    panel = to_spark(spark, flat("000001", 65), flat("000002", 65))
+    panel = to_spark(spark, steady("000001", 65), steady("000002", 65))
     assert [scan_targets(panel, s).count() for s in (1, 2, 5)] == [10, 6, 2]
     assert scan_targets(panel).exceptAll(scan_grid(panel).select("code", "date")).count() == 0
 
 
 def test_row_stride_numbers_across_codes(spark):
-    panel = to_spark(spark, flat("000001", 13), flat("000002", 13))
+    panel = to_spark(spark, steady("000001", 13), steady("000002", 13))
     got = [(r.code, r.row_no) for r in row_stride(panel, 5).orderBy("row_no").collect()]
     assert got == [("000001", 0), ("000001", 5), ("000001", 10), ("000002", 15), ("000002", 20), ("000002", 25)]
 
@@ -96,7 +96,7 @@ def test_kdj_matches_the_recursion_past_a_block_edge(spark):
 
 
 def test_flat_window_is_neutral(spark):
-    got = with_kdj(to_spark(spark, flat(n=30))).collect()
+    got = with_kdj(to_spark(spark, steady(n=30))).collect()
     assert all(abs(r.kdj_k - 50) < 1e-9 and abs(r.kdj_d - 50) < 1e-9 for r in got)
 
 
