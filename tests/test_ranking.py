@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barsift import session
 from barsift.operators import crosssec as xs
 from barsift.operators import inference as inf
+from barsift.operators import models
 from barsift.operators import walkforward as wf
 from barsift.operators.matrix import with_cross_section
 from barsift.operators.ranking import average_rank, cumulative, quantiles, row_numbers
@@ -177,3 +178,10 @@ def test_dropped_stages_leave_no_files(spark):
     assert os.path.isdir(folder)
     session.drop_stages(spark)
     assert not os.path.exists(folder)
+
+
+def test_a_fold_that_is_too_small_says_so(spark):
+    rows = spark.createDataFrame([("a", datetime.date(2024, 1, 2), "train", 1, 0.5), ("b", datetime.date(2024, 1, 3), "test", 0, 0.4)],
+                                 "code string, date date, role string, label_high int, x double")
+    r = models.evaluate_fold(rows, models.Config("c", features=("x",), min_train=5)).first()
+    assert (r.config, r.status, r.n_train, r.n_test, r.signals) == ("c", "insufficient rows", 1, 1, None)
