@@ -152,7 +152,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     nearest = pairs.groupBy("dir").agg(F.max_by(F.struct("above", "dir_license"), F.length("above")).alias("near"))
     # A directory may hold a third of the files: its line is copied and the files are dealt over the copies.
     nearest = staged(nearest).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(nearest, ["dir", "salt"], "left")
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(nearest.hint("merge"), ["dir", "salt"], "left")
     own = F.col("own").isNotNull()
     inherited = ~own & F.col("near").isNotNull()
     return out.select("path", *keep, F.coalesce("own", "near.dir_license").alias("license"),

@@ -176,7 +176,7 @@ def _judged(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     # A hot fingerprint may hold a third of the rows: its lookup row is copied and its rows are dealt over the copies.
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     looked = looked.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return salted.join(looked, ["fp", "_salt"]).select(
+    return salted.join(looked.hint("merge"), ["fp", "_salt"]).select(
         "doc_id", "t", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -91,10 +91,11 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     places = texts.select("text", "n", "said", _grams(F.col("text")).alias("gram"))
     counts = staged(places.groupBy("gram").agg(learn("allow").alias("accepted"), learn("block").alias("rejected")))
     ratios = staged(log_ratios(counts))
-    # Frequent grams are in every URL: the lookup is copied and the places are dealt over the copies.
+    # Frequent grams are in every URL: the lookup is copied and the places are dealt over the copies. Copied
+    # lookups are larger than their files say, so they are merged and never broadcast.
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     places = texts.select("text", F.pmod(F.hash("text"), F.lit(SALTS)).alias("salt"), _grams(F.col("text")).alias("gram"))
-    scores = places.join(ratios.withColumn("salt", salts), ["gram", "salt"]).groupBy("text").agg(F.avg("ratio").alias("score"))
+    scores = places.join(ratios.withColumn("salt", salts).hint("merge"), ["gram", "salt"]).groupBy("text").agg(F.avg("ratio").alias("score"))
     scored = staged(texts.join(scores, "text"))
 
     def of(v: str, part: Column) -> list[Column]:
@@ -108,7 +109,7 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     cut = F.when(sa + sr > 0, (ma * sr + mr * sa) / (sa + sr)).otherwise((ma + mr) / 2)
     one = one.select(F.coalesce(cut, F.lit(0.0)).alias("threshold"))
     lookup = scored.select("text", "score", salts.alias("salt"))
-    judged = rows.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS))).join(lookup, ["text", "salt"]).crossJoin(F.broadcast(one))
+    judged = rows.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS))).join(lookup.hint("merge"), ["text", "salt"]).crossJoin(F.broadcast(one))
     by_score = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
                          F.coalesce("fit.verdict", by_score).alias("verdict"), "score", "threshold")

@@ -81,7 +81,7 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     groups = groups.select("sha1", "bytes", "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
     salted = sizes.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     other = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return salted.join(groups, ["sha1", "bytes", "salt"], "left").select("page_id", "sha1", "bytes", other.alias("refers_to"))
+    return salted.join(groups.hint("merge"), ["sha1", "bytes", "salt"], "left").select("page_id", "sha1", "bytes", other.alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
