@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ from .common import chunks, utf8
 
 LENGTH = 400
 GRAM = 256
-#: Surroundings of one gram that one task sorts (about 35 MB); grams with more are counted by Spark instead.
-GROUP = 65_536
+#: Surroundings of one gram that one task sorts (about 9 MB); grams with more are counted by Spark instead.
+GROUP = 16_384
 #: Grams handled at once in one text, and context bytes sorted at once in one task.
 _PIECE = 1 << 20
-_SORTED = 4 << 20
+_SORTED = 2 << 20
 #: Bits of a text's hash by which texts without any repeat are kept out of shuffles.
 PREFIX_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -62,10 +63,32 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def part_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+class Joined(NamedTuple):
+    """Prefix hashes of short parts laid end to end, each with powers from its own start; ``at`` is the place in the part."""
+
+    sums: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, lengths: np.ndarray) -> Joined:
+        ends = np.cumsum(lengths)
+        at = np.zeros(len(data) + 1, np.int32)
+        at[:-1] = np.arange(len(data)) - np.repeat(ends - lengths, lengths)
+        at[-1] = lengths[-1] if len(lengths) else 0
+        power, _ = _tables(int(lengths.max()) if len(lengths) else 0)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        for a in range(0, len(data), _PIECE):
+            b = min(len(data), a + _PIECE)
+            np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * power[at[a:b]], out=sums[a + 1:b + 1])
+            sums[a + 1:b + 1] += sums[a]
+        return cls(sums, at)
+
+
+def part_hash(prefix: np.ndarray | Joined, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of the bytes from start to stop, wherever they lie; lengths must be compared beside it."""
-    _, inverse = _tables(len(prefix))
-    x = (prefix[stop] - prefix[start]) * inverse[start]
+    sums, at = (prefix.sums, prefix.at[start]) if isinstance(prefix, Joined) else (prefix, start)
+    _, inverse = _tables(int(at.max()) + 1 if len(at) else 0)
+    x = (sums[stop] - sums[start]) * inverse[at]
     x ^= x >> np.uint64(32)
     x *= _MIX
     return x ^ (x >> np.uint64(29))
@@ -192,9 +215,10 @@ def repeated_starts(contexts: list[bytes], left: np.ndarray, group: np.ndarray,
     start to the gram. Rows of a group adjoin.
     """
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    ends = np.cumsum([len(c) for c in contexts])
-    begins = ends - [len(c) for c in contexts]
-    prefix = prefix_hashes(data)
+    lengths = np.array([len(c) for c in contexts])
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    prefix = Joined.of(data, lengths)
     gram_at = begins + left
     stops = np.minimum(gram_at + length, ends)
     order = suffix_order(data, prefix, gram_at, stops, group)
