@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,13 +180,13 @@ def _judged(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         "doc_id", "t", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id; all columns as they are.
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", judge: Callable[..., DataFrame] = _judged) -> DataFrame:
+    """``docs`` with one row of each component that ``judge`` finds: that of its smallest id; all columns as they are.
 
     Of repeated rows with that id one stays, the first by the text's bytes. Of a component whose ids are all null
     one row per different text stays.
     """
-    judged = staged(_judged(docs, text, doc_id))
+    judged = staged(judge(docs, text, doc_id))
     again = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).filter("n > 1 or _id is null").select("_id")
     again = staged(again)
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
