@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -16,7 +16,7 @@ from .common import chunks, utf8
 
 #: Tokens of a window; an item with fewer has one window, of its own length.
 WINDOW = 8
-#: Items with fewer tokens, and windows with fewer words that are no slot, are not looked for.
+#: Template windows with fewer words that are no slot are not looked for; such windows match word for word alone.
 LEAST = 5
 #: Windows of an item that a document must share (all, where it has fewer): 13 tokens in a row.
 MATCHED = 6
@@ -38,6 +38,8 @@ _WORD, _NUMBER, _UNIT, _CAPITAL, _MARK = range(5)
 _TYPED = {k: np.uint64(xxhash.xxh3_64_intdigest(b"\x00" + name)) for k, name in ((_NUMBER, b"number"), (_UNIT, b"unit"), (_CAPITAL, b"name"))}
 _DIGITS = re.compile(r"[+-]?[\d.,:/-]*\d[\d.,:/-]*(?:st|nd|rd|th|%)?$")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: Scripts without spaces (U+3000 to U+9FFF, Thai, Lao, further ideographs): each character is a token.
+_UNSPACED = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2}")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _REMEMBERED = 300_000
 
@@ -90,6 +92,8 @@ def windows(texts: list[bytes], tokens: Tokens, widths: list[int]) -> Iterator[t
     """
     number, ids, owner = tokens.number, [], []
     for i, t in enumerate(texts):
+        if not t.isascii():
+            t = _UNSPACED.sub(rb" \g<0> ", t)
         of = [number(w) for w in t.replace(b"\n", b" . ").split()]
         ids += of
         owner += [i] * len(of)
@@ -112,8 +116,8 @@ def windows(texts: list[bytes], tokens: Tokens, widths: list[int]) -> Iterator[t
     for width in widths:
         n = len(h) - width + 1
         if n > 0:
-            valid = (owner[:n] == owner[width - 1:]) & (plain[width:] - plain[:n] >= min(LEAST, width))
             whole = owner[:n] == owner[width - 1:]
+            valid = whole & (plain[width:] - plain[:n] >= LEAST)
             salt = np.uint64(width)
             yield width, owner[:n], np.arange(n) - first[:n], _powered(typed, width) + salt, _powered(h, width) + salt, valid, whole, slot, h
 
@@ -125,8 +129,8 @@ def _slots(at: int, width: int, slot: np.ndarray, h: np.ndarray) -> list[int]:
 
 
 def _listed(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    kinds = (id_type, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.int32())
-    names = ("id", "text_hash", "at", "key", "template", "slots", "total", "width")
+    kinds = (id_type, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32())
+    names = ("id", "text_hash", "at", "key", "template", "slots", "total", "typed", "width")
     cols = list(zip(*rows, strict=True)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -150,25 +154,29 @@ def _spread(rows: DataFrame, widths: list[int] | None, bits: np.ndarray | None)
             if held is None:
                 for i, h, t in zip(ids, hashes, texts, strict=True):
                     count = max((len(x[1]) for x in windows([t], tokens, [1])), default=0)
-                    if count < LEAST:
+                    if not count:
                         continue
-                    for width, _, at, th, lh, valid, _, slot, value in windows([t], tokens, [min(WINDOW, count)]):
-                        total = int(valid.sum())
-                        for j in np.flatnonzero(valid).tolist():
-                            slots = _slots(j, width, slot, value)
-                            out.append((i, h, int(at[j]), int(th[j].view(np.int64)), True, slots, total, width))
-                            out.append((i, h, int(at[j]), int(lh[j].view(np.int64)), False, [], total, width))
+                    for width, _, at, th, lh, valid, whole, slot, value in windows([t], tokens, [min(WINDOW, count)]):
+                        sums = (int(whole.sum()), int(valid.sum()), width)
+                        for j in np.flatnonzero(whole).tolist():
+                            if valid[j]:
+                                out.append((i, h, int(at[j]), int(th[j].view(np.int64)), True, _slots(j, width, slot, value), *sums))
+                            out.append((i, h, int(at[j]), int(lh[j].view(np.int64)), False, [], *sums))
             else:
                 for width, owner, at, th, lh, valid, whole, slot, value in windows(texts, tokens, widths):
                     for key, template, ok in ((th, True, valid), (lh, False, whole)):
                         hit = ok & (held.value[key >> (shift + np.uint64(3))] >> ((key >> shift) & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                        for j in np.flatnonzero(hit).tolist():
+                        found = np.flatnonzero(hit)
+                        if not template and width < WINDOW:
+                            # A shorter item is one window, so its first place in a document is enough.
+                            found = found[np.unique(np.stack([owner[found].astype(np.uint64), key[found]]), axis=1, return_index=True)[1]] if len(found) else found
+                        for j in found.tolist():
                             out.append((ids[owner[j]], hashes[owner[j]], int(at[j]), int(key[j].view(np.int64)), template,
-                                        _slots(j, width, slot, value) if template else [], 0, width))
+                                        _slots(j, width, slot, value) if template else [], 0, 0, width))
             yield _listed(out, part.schema.field("id").type)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, at int, key bigint, template boolean, slots array<bigint>, total int, width int")
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, at int, key bigint, template boolean, slots array<bigint>, total int, typed int, width int")
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -187,13 +195,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
     Returns doc_id, item_id, text_hash, windows (of the item's, found in the document), item_windows,
     slots and slots_changed (different values in the item's slots, and those that are another in the
-    document), first_at (token). An item is found if the document has ``MATCHED`` of its template
-    windows (all, if there are fewer) and its slot values map to the document's one to one place: a
-    value that occurs twice in the item must be the same value twice in the document.
+    document), first_at (token). An item is found if the document has ``MATCHED`` of its windows (all, if there are
+    fewer; of those with words enough for a template, or of all) and its slot values map to the document's one to
+    one place: a value that occurs twice in the item must be the same value twice in the document. Windows with fewer
+    than ``LEAST`` words that are no slot match word for word alone.
 
     Windows are compared by a join of 64-bit hashes of 8 tokens; a bit field of fixed size, made from
     all windows of the benchmark, keeps those of documents that can't match out of the shuffle. Null and
-    empty texts and items of under five tokens match nothing. Documents that share id and text are
+    empty texts match nothing; an item of under ``WINDOW`` tokens is one window, its whole token sequence. Documents that share id and text are
     one; a null id is reported as null. Either table empty gives no rows.
     """
     items = staged(_spread(_keyed(benchmark, item_id, item_text).distinct(), None, None))
@@ -201,12 +210,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     bits = _filter(items)
     found = _spread(_keyed(docs, doc_id, text), widths, bits)
     left = found.select(F.col("id").alias("doc_id"), "text_hash", "key", "template", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    right = items.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "key", "template", "at", "slots", "total")
+    right = items.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "key", "template", "at", "slots", "total", "typed",
+                         F.max("template").over(Window.partitionBy("id", "text_hash", "at")).alias("rich"))
     both = staged(left.join(right, ["key"]).filter(left["template"] == right["template"]).select(
-        "doc_id", "text_hash", "item_id", "item_hash", "at", "doc_at", "total", "doc_slots", "slots").filter(F.size("doc_slots") == F.size("slots")).distinct())
+        "doc_id", "text_hash", "item_id", "item_hash", "at", "doc_at", "total", "typed", "rich", "doc_slots", "slots").filter(F.size("doc_slots") == F.size("slots")).distinct())
     by = ["doc_id", "text_hash", "item_id", "item_hash"]
-    shared = both.groupBy(*by).agg(F.count_distinct("at").alias("windows"), F.max("total").alias("item_windows"), F.min("doc_at").alias("first_at"))
-    shared = shared.filter(F.col("windows") >= F.least(F.lit(MATCHED), F.col("item_windows")))
+    shared = both.groupBy(*by).agg(F.count_distinct("at").alias("windows"), F.count_distinct(F.when(F.col("rich"), F.col("at"))).alias("rich"),
+                                   F.max("total").alias("item_windows"), F.max("typed").alias("typed"), F.min("doc_at").alias("first_at"))
+    enough = (F.col("typed") > 0) & (F.col("rich") >= F.least(F.lit(MATCHED), F.col("typed")))
+    shared = shared.filter(enough | (F.col("windows") >= F.least(F.lit(MATCHED), F.col("item_windows"))))
     # Values of one alignment must agree; a document may hold the item twice with other values.
     pair = F.explode(F.arrays_zip("slots", "doc_slots")).alias("v")
     values = both.select(*by, (F.col("doc_at") - F.col("at")).alias("shift"), pair).select(*by, "shift", F.col("v.slots").alias("a"), F.col("v.doc_slots").alias("b"))

@@ -7,6 +7,8 @@ import itertools
 import corpus_pipeline
 from docs import plain, prose, table
 
+from barsift.llm import decontaminate
+
 
 def shingled(text):
     w = (text or "").lower().split()
@@ -36,3 +38,19 @@ def test_near_copies_of_similarity_are_dropped(spark):
     got = corpus_pipeline.near_duplicates(spark, table(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(root.values()))
     assert len(set(root.values())) == 46
+
+
+SHORT = ["Compute 12 + 35 + 48 - 7 + 90.", "Sort 14, 3, 27, 9, 81, 42 and 5.", "Who Wrote The Novel Pride And Prejudice?", "What is two plus two?",
+         "Welcher Fluss fliesst durch Berlin und Potsdam?", "Who was Ada Lovelace?", "\u54ea\u4e00\u6761\u6cb3\u6d41\u7ecf\u67cf\u6797\u548c\u6ce2\u8328\u5766"]
+
+
+def test_items_rich_in_slots_or_short_are_found(spark):
+    items = spark.createDataFrame(list(enumerate(SHORT)), "item_id long, text string")
+    rows = [(i, f"{prose('en', 12, i)} {t} {prose('de', 9, i)}", "en", "s", 0) for i, t in enumerate(SHORT)]
+    # The unspaced item stands inside a longer run; other numbers are another question.
+    rows[6] = (6, "\u8bf7\u95ee" + SHORT[6] + "\u5417", "zh", "s", 0)
+    rows += [(50, "Compute 11 + 35 + 48 - 7 + 90.", "en", "s", 0), (51, "Who was Bob Lovelace?", "en", "s", 0), *[(100 + r[0], *r[1:]) for r in plain(20)]]
+    got = decontaminate.matches(table(spark, rows), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(len(SHORT))]
+    kept = corpus_pipeline.decontaminate.clean(table(spark, rows), items)
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - set(range(len(SHORT)))
