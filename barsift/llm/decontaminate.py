@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -198,7 +199,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     document), first_at (token). An item is found if the document has ``MATCHED`` of its windows (all, if there are
     fewer; of those with words enough for a template, or of all) and its slot values map to the document's one to
     one place: a value that occurs twice in the item must be the same value twice in the document. Windows with fewer
-    than ``LEAST`` words that are no slot match word for word alone.
+    than ``LEAST`` words that are no slot match word for word alone. ``MATCHED`` neighbouring windows word for word (13 tokens
+    in a row; all windows, if there are fewer) are enough whatever the slots elsewhere hold.
 
     Windows are compared by a join of 64-bit hashes of 8 tokens; a bit field of fixed size, made from
     all windows of the benchmark, keeps those of documents that can't match out of the shuffle. Null and
@@ -212,8 +214,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     left = found.select(F.col("id").alias("doc_id"), "text_hash", "key", "template", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
     right = items.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "key", "template", "at", "slots", "total", "typed",
                          F.max("template").over(Window.partitionBy("id", "text_hash", "at")).alias("rich"))
-    both = staged(left.join(right, ["key"]).filter(left["template"] == right["template"]).select(
-        "doc_id", "text_hash", "item_id", "item_hash", "at", "doc_at", "total", "typed", "rich", "doc_slots", "slots").filter(F.size("doc_slots") == F.size("slots")).distinct())
+    both = staged(left.join(right, ["key"]).filter(left["template"] == right["template"]).drop(right["template"]).select(
+        "doc_id", "text_hash", "item_id", "item_hash", "template", "at", "doc_at", "total", "typed", "rich", "doc_slots", "slots").filter(F.size("doc_slots") == F.size("slots")).distinct())
     by = ["doc_id", "text_hash", "item_id", "item_hash"]
     shared = both.groupBy(*by).agg(F.count_distinct("at").alias("windows"), F.count_distinct(F.when(F.col("rich"), F.col("at"))).alias("rich"),
                                    F.max("total").alias("item_windows"), F.max("typed").alias("typed"), F.min("doc_at").alias("first_at"))
@@ -225,9 +227,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     values = values.groupBy(*by, "shift", "a").agg(F.count_distinct("b").alias("n"), F.max(F.col("a") != F.col("b")).alias("changed"))
     values = values.groupBy(*by, "shift").agg(F.count("*").alias("slots"), F.count_if("changed").alias("slots_changed"), F.max("n").alias("n"))
     values = values.groupBy(*by).agg(F.min("n").alias("n"), F.max("slots").alias("slots"), F.max("slots_changed").alias("slots_changed"))
-    on = [shared[c].eqNullSafe(values[c]) for c in by]
-    out = shared.join(values, on[0] & on[1] & on[2] & on[3], "left").filter(F.coalesce(values["n"], F.lit(1)) == 1)
-    return out.select(*[shared[c] for c in by[:3]], "windows", "item_windows", F.coalesce("slots", F.lit(0)).alias("slots"),
+    # Words in a row are proof by themselves, whatever the slots elsewhere hold.
+    place = Window.partitionBy(*by, "shift").orderBy("at")
+    verbatim = both.filter("not template").select(*by, "at", "total", (F.col("doc_at") - F.col("at")).alias("shift"))
+    verbatim = verbatim.withColumn("run", F.col("at") - F.row_number().over(place)).groupBy(*by, "shift", "run").agg(F.count("*").alias("n"), F.max("total").alias("total"))
+    verbatim = verbatim.filter(F.col("n") >= F.least(F.lit(MATCHED), F.col("total"))).select(*by).distinct().withColumn("verbatim", F.lit(True))
+
+    out = shared
+    for other, mark in ((values, "v_"), (verbatim, "w_")):
+        other = other.withColumnsRenamed({c: mark + c for c in by})
+        out = out.join(other, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(mark + c)) for c in by]), "left")
+    out = out.filter((F.coalesce("n", F.lit(1)) == 1) | F.col("verbatim"))
+    return out.select(*by[:3], "windows", "item_windows", F.coalesce("slots", F.lit(0)).alias("slots"),
                       F.coalesce("slots_changed", F.lit(0)).alias("slots_changed"), "first_at")
 
 

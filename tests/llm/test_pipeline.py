@@ -54,3 +54,11 @@ def test_items_rich_in_slots_or_short_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(len(SHORT))]
     kept = corpus_pipeline.decontaminate.clean(table(spark, rows), items)
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - set(range(len(SHORT)))
+
+
+def test_verbatim_passage_is_found_beside_a_changed_slot(spark):
+    item = f"They say that Anna sold the house to Paul. {prose('en', 40, 950).lower()} and later on we saw Anna go home with him again"
+    changed = item.replace("saw Anna", "saw Berta")
+    rows = [(1, f"First {changed} last", "en", "s", 0), (2, f"First {item} last", "en", "s", 0), *[(100 + r[0], *r[1:]) for r in plain(10)]]
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.matches(table(spark, rows), items).collect()) == [1, 2]
