@@ -157,19 +157,27 @@ def _chances(cell, classes, slots, weights, room: _Room) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def _drawn(cell, classes, slots, weights, room: _Room, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A class and a slot of the token's class, drawn from the model with the given uniform numbers."""
+def _expected(cell, classes, slots, weights, room: _Room) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of all classes, and of all slots of the token's class."""
     bias, class_table, slot_bias, slot_table = weights
     out = []
     for base, of, table, rows, k in ((bias, None, class_table, classes, CLASSES), (slot_bias, cell // SLOTS, slot_table, slots, SLOTS)):
-        z = _sums(base, of, table, rows, room.z[k], room.more[k])
+        z = _sums(base, of, table, rows, np.empty((len(cell), k), np.float32), room.more[k])
         np.exp(z, out=z)
-        np.cumsum(z, axis=1, out=z)
-        out.append((z >= (u * z[:, -1])[:, None]).argmax(1))
-        u = (u * np.float32(64)) % np.float32(1)
+        z /= z.sum(1, keepdims=True)
+        out.append(z)
     return out[0], out[1]
 
 
+def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add to each row of ``total`` all values that name it."""
+    rows = rows.astype(np.uint16)
+    order = np.argsort(rows, kind="stable")
+    r = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    total[r[first]] += np.add.reduceat(values[order], first, axis=0)
+
+
 #: Table sizes in the order in which they travel, flat, and floats of one travelling block.
 SHAPES = ((CLASSES,), (CLASS_ROWS, CLASSES), (CLASSES, SLOTS), (SLOT_ROWS, SLOTS))
 _BLOCK = 1 << 15
@@ -184,28 +192,28 @@ _SIZE = sum(int(np.prod(s)) for s in SHAPES)
 
 
 def _summed(docs: DataFrame, weights) -> np.ndarray:
-    """Counts (``weights`` None) of all features over ``docs``, or counts minus those of words drawn from the model.
+    """Counts (``weights`` None) of all features over ``docs``, or counts minus expected counts, the gradient.
 
-    A word drawn in place of each token has the expected counts on average, so the difference is the
-    gradient of the likelihood. Each task sums its own; blocks of the vector meet by number and are added as
-    they stream in. Counts are whole numbers, so the order doesn't matter. The driver gets one vector of fixed size.
+    Expected counts are the model's probabilities, summed over all tokens. Each task sums its own; blocks of the vector
+    meet by number and are added as they stream in. What travels is whole counts, or multiples of 1/1024, so the
+    order doesn't matter there. The driver gets one vector of fixed size.
     """
     held = None if weights is None else docs.sparkSession.sparkContext.broadcast(weights)
+    sent, summed = (np.int32, np.int64) if held is None else (np.float32, np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.zeros(_SIZE, np.int32)
-        _, class_table, slot_bias, slot_table = (x.reshape(-1) for x in _shaped(flat))
+        flat = np.zeros(_SIZE, np.int32 if held is None else np.float64)
+        shaped = _shaped(flat)
+        _, class_table, slot_bias, slot_table = (x.reshape(-1) for x in shaped)
         words, room, any_row = Words(), _Room(), False
         pending: list = []
 
         def settle():
             # Feature numbers are gathered first: counting them costs a pass over the table.
             for table, k in ((class_table, 0), (slot_table, 1), (slot_bias, 2)):
-                for sign in (1, -1):
-                    at = [x for where, way, x in pending if where == k and way == sign]
-                    if at:
-                        n = np.bincount(np.concatenate(at), minlength=len(table))
-                        np.add(table, sign * n, out=table, casting="unsafe")
+                at = [x for where, x in pending if where == k]
+                if at:
+                    np.add(table, np.bincount(np.concatenate(at), minlength=len(table)), out=table, casting="unsafe")
             pending.clear()
 
         for part in chunks(batches):
@@ -214,19 +222,24 @@ def _summed(docs: DataFrame, weights) -> np.ndarray:
             for ids, _, wide, owners in _pieces(part.column("text").to_pylist(), words):
                 any_row = True
                 cell, classes, slots = _rows(ids, wide, owners, words)
-                ways = [(1, cell // SLOTS, cell % SLOTS)]
-                if held is not None:
-                    u = (_mixed(words.hash[ids] * _K1 + words.hash[wide[-len(ids) - 1:-1]] if len(wide) > len(ids) else words.hash[ids]) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
-                    ways.append((-1, *_drawn(cell, classes, slots, held.value, room, u)))
-                else:
-                    pending.append((2, 1, cell))
-                for sign, c, s in ways:
-                    pending += [(0, sign, r * np.int32(CLASSES) + c) for r in classes]
-                    pending += [(1, sign, r * np.int32(SLOTS) + s) for r in slots]
+                c, s = cell // SLOTS, cell % SLOTS
+                if held is None:
+                    pending.append((2, cell))
+                    pending += [(0, r * np.int32(CLASSES) + c) for r in classes]
+                    pending += [(1, r * np.int32(SLOTS) + s) for r in slots]
+                    continue
+                at = np.arange(len(cell))
+                for of, own, table, p in zip((classes, slots), (c, s), (shaped[1], shaped[3]), _expected(cell, classes, slots, held.value, room), strict=True):
+                    np.negative(p, out=p)
+                    p[at, own] += 1
+                    for r in of:
+                        _add_rows(table, r, p)
             settle()
         if any_row:
             if held is None:
                 flat[:CLASSES] = slot_bias.reshape(CLASSES, SLOTS).sum(1)
+            else:
+                flat = (np.round(flat * 1024) / 1024).astype(np.float32)
             for i in range(0, _SIZE, _BLOCK):
                 yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK], pa.int32()), pa.array([flat[i:i + _BLOCK].tobytes()])], ["block", "held"])
 
@@ -234,7 +247,7 @@ def _summed(docs: DataFrame, weights) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, x in zip(batch.column("block").to_pylist(), batch.column("held").to_pylist(), strict=True):
-                x = np.frombuffer(x, np.int32).astype(np.int64)
+                x = np.frombuffer(x, sent).astype(summed)
                 total[b] = total[b] + x if b in total else x
         for b, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()])], ["block", "held"])
@@ -242,7 +255,7 @@ def _summed(docs: DataFrame, weights) -> np.ndarray:
     blocks = docs.mapInArrow(run, "block int, held binary").repartition("block").mapInArrow(add, "block int, held binary")
     flat = np.zeros(_SIZE)
     for b, x in blocks.toPandas().itertuples(index=False):
-        x = np.frombuffer(x, np.int64)
+        x = np.frombuffer(x, summed)
         flat[b * _BLOCK:b * _BLOCK + len(x)] = x
     return flat
 
