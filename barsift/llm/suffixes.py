@@ -350,8 +350,17 @@ def repeated_ranges(docs: DataFrame, text: str = "text", length: int = LENGTH, g
     return staged(found.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
 
 
-def cut(text: bytes, ranges: list[dict], length: int, gram: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """The bytes that stay, and the maximal removed runs."""
+def _whole_words(text: bytes, a: int, b: int) -> int:
+    """Words of a text that lie whole between a and b."""
+    n = len(text[a:b].split())
+    for edge in {a, b}:
+        if 0 < edge < len(text) and not text[edge - 1:edge].isspace() and not text[edge:edge + 1].isspace():
+            n -= 1
+    return n
+
+
+def cut(text: bytes, ranges: list[dict], length: int, gram: int, over: int = 0) -> tuple[bytes, list[tuple[int, int]]]:
+    """The bytes that stay, and the maximal removed runs: of over ``over`` whole words, or ``LENGTH`` bytes, where that is given."""
     spans = []
     for r in ranges:
         if r["b"] < 0:
@@ -365,6 +374,8 @@ def cut(text: bytes, ranges: list[dict], length: int, gram: int) -> tuple[bytes,
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
+    if over:
+        merged = [(a, b) for a, b in merged if b - a >= LENGTH or _whole_words(text, a, b) > over]
     kept, at = [], 0
     for a, b in merged:
         kept.append(text[at:a])
@@ -373,12 +384,14 @@ def cut(text: bytes, ranges: list[dict], length: int, gram: int) -> tuple[bytes,
     return b"".join(kept), merged
 
 
-def dedupe(docs: DataFrame, text: str = "text", keep: list[str] | None = None, with_text: bool = True, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedupe(docs: DataFrame, text: str = "text", keep: list[str] | None = None, with_text: bool = True, length: int = LENGTH, gram: int = GRAM,
+           over: int = 0) -> DataFrame:
     """Rows of ``docs`` without the bytes that repeats cover.
 
     Adds n_bytes, n_removed, n_spans and kept_sha256 and, ``with_text``, replaces the text by what is left
     (bytes of a character cut in two are left out). ``keep`` names the other columns to return (all if
-    None); columns with the added names are replaced. Repeats are found on the input, in the same or another
+    None); columns with the added names are replaced. With ``over``, covered runs of so many words or fewer, and under
+    ``LENGTH`` bytes, stay. Repeats are found on the input, in the same or another
     row, and a repeated row is a repeat of itself: of equal texts of ``length`` bytes or more none keeps a
     byte. Null and empty texts have no bytes, a null text stays null; shorter texts stay as they are. No rows
     give none.
@@ -392,7 +405,7 @@ def dedupe(docs: DataFrame, text: str = "text", keep: list[str] | None = None, w
         for part in chunks(batches):
             out = []
             for t, ranges in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
-                left, spans = cut(t, ranges or [], length, gram)
+                left, spans = cut(t, ranges or [], length, gram, over)
                 out.append((len(t), len(t) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True))], ["row", *added, "text"])

@@ -62,3 +62,13 @@ def test_verbatim_passage_is_found_beside_a_changed_slot(spark):
     rows = [(1, f"First {changed} last", "en", "s", 0), (2, f"First {item} last", "en", "s", 0), *[(100 + r[0], *r[1:]) for r in plain(10)]]
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.matches(table(spark, rows), items).collect()) == [1, 2]
+
+
+def test_passages_of_over_fifty_words_are_cut(spark):
+    words = [w[:4] for w in prose("en", 200, 960).split()]
+    long, short, tiny = " ".join(words[:51]), " ".join(words[60:110]), " ".join("abcdefghi"[i * i % 9] for i in range(51))
+    assert max(len(long), len(short)) < 400 and len(tiny) == 101
+    rows = [(10 * k + i, f"{a} {passage} {b}", "en", "s", 0) for k, passage in enumerate((long, short, tiny)) for i, (a, b) in enumerate((("x1", "y1"), ("z2", "w2")))]
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_text(spark, table(spark, rows), "").collect()}
+    assert [got[i] for i in (0, 1, 20, 21)] == ["x1y1", "z2w2"] * 2
+    assert [got[i] for i in (10, 11)] == [rows[2][1], rows[3][1]]
