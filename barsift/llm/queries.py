@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import ann, decontaminate, langid, licenses, maxent, mixing, simhash, suffixes, urlfilter, warc
+from . import ann, decontaminate, dialogue, langid, licenses, maxent, mixing, simhash, suffixes, urlfilter, warc
 from .common import crc_bucket, table
 
 QUERIES: dict = {}
@@ -100,3 +100,26 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 100).cast("bigint"), "doc_id")
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
+
+
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by the crc32 of id and turn."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"),
+                                crc_bucket(F.concat_ws(":", blank("conv_id"), blank("turn")), 20).alias("_d"))
+    d = F.col("_d")
+    return rows.filter(d != 0).select(
+        "conv_id", "turn", F.when(d == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(d == 1, "").when(d == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(d == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy")).drop("_copy")
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    found = dialogue.repair(_damaged(conversations)).withColumnRenamed("conv_id", "_conv")
+    every = conversations.select("conv_id").distinct()
+    out = every.join(found, every["conv_id"].eqNullSafe(found["_conv"]), "left").drop("_conv")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
