@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import ann, decontaminate, dialogue, langid, licenses, maxent, mixing, simhash, suffixes, urlfilter, warc
+from . import ann, decontaminate, dialogue, langid, licenses, maxent, mixing, negatives, simhash, suffixes, urlfilter, warc
 from .common import crc_bucket, table
 
 QUERIES: dict = {}
@@ -123,3 +123,25 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+_HARD_SQL = """with q as (
+  select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from q a join q b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, row_number() over w as rank, s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+window w as (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)
+qualify row_number() over w <= 5"""
+
+
+@query("op13_hard_negatives", _HARD_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    vectors = table(spark, folder, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(vectors, lambda i: i % 100 == 0)
