@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import ann, decontaminate, dialogue, langid, licenses, maxent, mixing, negatives, simhash, suffixes, urlfilter, warc
+from . import ann, decontaminate, dialogue, langid, licenses, maxent, mixing, negatives, simhash, suffixes, toxicity, urlfilter, warc
 from .common import crc_bucket, table
 
 QUERIES: dict = {}
@@ -145,3 +145,11 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     label = F.col("label").cast("long")
     vectors = table(spark, folder, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
     return negatives.mine(vectors, lambda i: i % 100 == 0)
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit(docs.filter(~held_out), table(spark, folder, "labels").filter(~held_out))
+    return toxicity.score(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
