@@ -60,7 +60,7 @@ def test_unlabelled_positives_do_not_hold_the_classifier_down():
 
 
 def test_awkward_rows(spark):
-    rows, toxic = corpus(200)
+    rows, toxic = corpus(100)
     docs = documents(spark, rows + awkward(), extra=True)
     known = [*toxic.items(), (100, 1), (None, 1), (105, None), (0, 0), (0, 1)]
     model = toxicity.fit(docs, labels(spark, known))
