@@ -169,13 +169,21 @@ def _expected(cell, classes, slots, weights, room: _Room) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add to each row of ``total`` all values that name it."""
-    rows = rows.astype(np.uint16)
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    total[r[first]] += np.add.reduceat(values[order], first, axis=0)
+class _Adder:
+    """Adds rows of values to rows of a table; what it needs beside them is kept and used again, as making it costs more than the sums."""
+
+    def __init__(self):
+        self.at = {k: np.empty((_TOKENS, k), np.int64) for k in {CLASSES, SLOTS}}
+        self.values = {k: np.empty((_TOKENS, k)) for k in {CLASSES, SLOTS}}
+
+    def add(self, total: np.ndarray, rows: list[np.ndarray], values: np.ndarray) -> None:
+        """Add to each row of ``total`` all values that name it, for each list of rows."""
+        n, k = values.shape
+        at, held = self.at[k][:n], self.values[k][:n]
+        held[:] = values
+        for r in rows:
+            np.add((r.astype(np.int64) * k)[:, None], np.arange(k), out=at)
+            np.add.at(total.reshape(-1), at.reshape(-1), held.reshape(-1))
 
 
 #: Table sizes in the order in which they travel, flat, and floats of one travelling block.
@@ -205,7 +213,7 @@ def _summed(docs: DataFrame, weights) -> np.ndarray:
         flat = np.zeros(_SIZE, np.int32 if held is None else np.float64)
         shaped = _shaped(flat)
         _, class_table, slot_bias, slot_table = (x.reshape(-1) for x in shaped)
-        words, room, any_row = Words(), _Room(), False
+        words, room, adder, any_row = Words(), _Room(), _Adder(), False
         pending: list = []
 
         def settle():
@@ -232,8 +240,7 @@ def _summed(docs: DataFrame, weights) -> np.ndarray:
                 for of, own, table, p in zip((classes, slots), (c, s), (shaped[1], shaped[3]), _expected(cell, classes, slots, held.value, room), strict=True):
                     np.negative(p, out=p)
                     p[at, own] += 1
-                    for r in of:
-                        _add_rows(table, r, p)
+                    adder.add(table, of, p)
             settle()
         if any_row:
             if held is None:
