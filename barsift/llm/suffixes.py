@@ -6,7 +6,10 @@ A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts an
   some run of ``LENGTH - GRAM + 1`` neighbouring grams, so every string of ``LENGTH`` bytes holds one, and
   equal strings hold it at the same place. That thins positions out by about 70 and loses no repeat.
 * Hashes are prefix polynomials: one pass over a text gives the hash of any part of it in two steps.
-* Anchors whose gram occurs once in the corpus are done. Of the others, those whose whole
+* Anchors whose gram occurs once in the corpus are done. A first pass counts grams by their hash alone; those that repeat mark
+  a bit each in a field of fixed size, and the second pass lists an anchor only if its bit is set, so what is written
+  grows with the repeats, not with the text. A bit set by chance lets an anchor through that the counts drop later.
+  Of the anchors whose gram repeats, those whose whole
   surroundings (all strings of ``LENGTH`` around the gram) occur again are done too.
 * The rest lie at the edge of a repeat. Their surroundings meet by gram; there the suffixes are put in
   order by a mergesort that compares two of them by the length of their common extension, found by
@@ -36,8 +39,11 @@ GROUP = 16_384
 #: Grams handled at once in one text, and context bytes sorted at once in one task.
 _PIECE = 1 << 20
 _SORTED = 2 << 20
+#: Bits of a gram's hash that number a bit of the field of repeated grams (16 MB).
+FIELD_BITS = 27
 #: Bits of a text's hash by which texts without any repeat are kept out of shuffles.
 PREFIX_BITS = 20
+_BLOCK_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -132,15 +138,50 @@ def surroundings(x, n, length: int, gram: int):
     return np.maximum(0, x + length - n), np.minimum(length - gram, x)
 
 
-def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(c, u, t1, t2, x) of all anchors: hash of the gram and of its surroundings, hashes of the text, position."""
+def _repeated_grams(texts: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Bit field of the grams that more than one anchor has; the driver gets at most ``2 ** (FIELD_BITS - 3)`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        for part in chunks(batches):
+            found = [anchors(np.frombuffer(t, np.uint8), length, gram)[1] for t in part.column("text").to_pylist()]
+            # Twice is enough to be known as repeated.
+            c, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["c", "n"])
+
+    twice = texts.select("text").mapInArrow(run, "c bigint, n tinyint").groupBy("c").agg(F.sum("n").alias("n")).filter("n > 1").select("c")
+    block = F.shiftrightunsigned("c", 64 - FIELD_BITS + _BLOCK_BITS).cast("int")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field: dict[int, np.ndarray] = {}
+        for batch in batches:
+            c, blocks = batch.column("c").to_numpy().view(np.uint64), batch.column("block").to_numpy()
+            bit = (c >> np.uint64(64 - FIELD_BITS)).astype(np.int64) & ((1 << _BLOCK_BITS) - 1)
+            for b in np.unique(blocks).tolist():
+                field.setdefault(b, np.zeros(1 << _BLOCK_BITS, bool))[bit[blocks == b]] = True
+        for b, x in field.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(x).tobytes()])], ["block", "bits"])
+
+    out = np.zeros(1 << FIELD_BITS - 3, np.uint8)
+    size = 1 << _BLOCK_BITS - 3
+    marks = twice.select("c", block.alias("block")).repartition("block").mapInArrow(mark, "block int, bits binary")
+    for b, x in marks.toPandas().itertuples(index=False):
+        out[b * size:(b + 1) * size] = np.frombuffer(x, np.uint8)
+    return out
+
+
+def _anchor_rows(texts: DataFrame, length: int, gram: int, field: np.ndarray) -> DataFrame:
+    """(c, u, t1, t2, x) of all anchors whose gram's bit is set: hash of the gram and of its surroundings, hashes of the text, position."""
+    held = texts.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, field = xxhash.xxh3_64_intdigest, held.value
         for part in chunks(batches):
             out = [[], [], [], [], []]
             for t1, t2, text in zip(*(part.column(k).to_pylist() for k in ("t1", "t2", "text")), strict=True):
                 x, c = anchors(np.frombuffer(text, np.uint8), length, gram)
+                bit = (c >> np.uint64(64 - FIELD_BITS)).astype(np.int64)
+                again = (field[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+                x, c = x[again], c[again]
                 if len(x):
                     lo, hi = surroundings(x, len(text), length, gram)
                     u = [digest(text[a:b], s) for a, b, s in zip((x - hi).tolist(), (x - lo + length).tolist(), (hi * 65536 + lo).tolist(), strict=True)]
@@ -280,7 +321,7 @@ def _open_runs(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)],
                                                  ["c", "g", "t1", "t2", "x", "open", "hi", "context"])
 
-    contexts = staged(one.join(lists, ["t1", "t2"]).mapInArrow(
+    contexts = staged(one.join(lists.hint("merge"), ["t1", "t2"]).mapInArrow(
         cut, "c bigint, g bigint, t1 bigint, t2 int, x int, open boolean, hi int, context binary"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,10 +379,8 @@ def _texts(docs: DataFrame, text: str, keep: list) -> DataFrame:
 def repeated_ranges(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(t1, t2, ranges) of every text with a repeated string; a range is (a, b), or (x, -1) for all strings around the gram at x."""
     texts = _texts(docs, text, [])
-    rows = staged(_anchor_rows(texts, length, gram))
-    # Written, so that the joins deal their rows anew and a gram that a third of the rows share can be split.
-    shared = staged(rows.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c"))
-    rows = staged(rows.join(shared, "c"))
+    # Written, so that the join deals its rows anew and a gram that a third of the rows share can be split.
+    rows = staged(_anchor_rows(texts, length, gram, _repeated_grams(texts, length, gram)))
     kinds = staged(rows.groupBy("c", "u").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "x")).alias("at")))
     edges = staged(kinds.groupBy("c").agg(F.count("*").alias("g"), F.bool_or(F.col("n") == 1).alias("any")).filter("any and g > 1").select("c", "g"))
     wanted = staged(kinds.join(edges, "c").select("c", "at.*", (F.col("n") == 1).alias("open"), "g"))
@@ -410,7 +449,7 @@ def dedupe(docs: DataFrame, text: str = "text", keep: list[str] | None = None, w
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True))], ["row", *added, "text"])
 
-    some = _prefixed(texts, ranges, "left_semi").join(ranges, ["t1", "t2"], "left").select("row", "text", "ranges")
+    some = _prefixed(texts, ranges, "left_semi").join(ranges.hint("merge"), ["t1", "t2"], "left").select("row", "text", "ranges")
     kind = some.schema["row"].dataType.simpleString()
     some = some.mapInArrow(run, f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
     other = _prefixed(texts, ranges, "left_anti").select(
