@@ -51,3 +51,32 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             held += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+#: Bits of a hash by which rows that can't match stay out of a shuffle.
+PREFIX_BITS = 20
+
+
+def split_by_hash(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose hash in ``column`` shares its first bits with one of ``keys``, and the rest.
+
+    At most 2 ** PREFIX_BITS rows are broadcast, at any size; only the first part needs a join by the whole key.
+    """
+    bits = lambda c: F.shiftrightunsigned(c, 64 - PREFIX_BITS).cast("int")
+    p = unused("_p", rows)
+    some = F.broadcast(keys.select(bits(F.col(key)).alias(p)).distinct())
+    marked = rows.withColumn(p, bits(F.col(column)))
+    return marked.join(some, p, "left_semi").drop(p), marked.join(some, p, "left_anti").drop(p)
+
+
+def unused(name: str, rows: DataFrame) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in (c.lower() for c in rows.columns):
+        name += "_"
+    return name
+
+
+def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Smaller Arrow batches than Spark's default, for rows of whole texts; another setting of the user's stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import chunks, utf8
+from .common import chunks, split_by_hash, unused, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -190,9 +190,13 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", judge:
     again = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).filter("n > 1 or _id is null").select("_id")
     again = staged(again)
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    # The list of those that go is short beside the documents, and one anti join leaves their order and place alone.
-    gone = staged(judged.filter(~same & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).unionByName(again).distinct())
-    once = docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left_anti")
+    # Documents none of whose id's first hash bits go stay where they are; the others meet the ids that go.
+    hid = unused("_hid", docs)
+    gone = staged(judged.filter(~same & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).unionByName(again).distinct().withColumn(
+        hid, F.xxhash64("_id")))
+    maybe, stay = (part.drop(hid) for part in split_by_hash(docs.withColumn(hid, F.xxhash64(doc_id)), hid, gone, hid))
+    left = gone.drop(hid).hint("merge")
+    once = stay.unionByName(maybe.join(left, maybe[doc_id].eqNullSafe(left["_id"]), "left_anti"))
     # Ids that occur again: one row of each, by its text; of rows without id, one of each text.
     stays = judged.filter(same).join(again, judged["doc_id"].eqNullSafe(again["_id"]), "left_semi")
     stays = staged(stays.select(F.col("doc_id").alias("_id"), "t").distinct())
