@@ -355,8 +355,9 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "
     held = docs.sparkSession.sparkContext.broadcast((weights, in_cell, _distinct_words(vocabulary)))
 
     blocks = max(int(size // BLOCK_BYTES) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = ["doc_id", *keep]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, utf8(F.col(text)).alias("text"))
+    # The columns to keep travel by number, so none of them meets a name used here.
+    names = ["doc_id", *(f"keep{i}" for i in range(len(keep)))]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)], utf8(F.col(text)).alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,5 +404,6 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "
         return pa.table(cols, [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+    out = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         run, f"{kinds}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return out.select("doc_id", *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import words_in
+from .common import unused, words_in
 
 #: Draws are the first 13 hex digits of an md5, so 52 bits.
 _DRAW_RANGE = float(1 << 52)
@@ -54,13 +54,13 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, seed: str = "mi
     repeated ids draw alike, and where the id is null the text is hashed. A null text has size 0,
     a null source is a source, a source without words has rate 0. An empty table stays empty.
     """
-    size = words_in(F.col(text))
+    size, key_of = words_in(F.col(text)), unused("_source", docs)
     rows = docs.drop("size", "source_size", "target", "copies", "taken").withColumn("size", size)
     sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
     # One row per source, written: the size on disk then decides between broadcast and shuffle join.
     targets = staged(source_targets(staged(sizes), weights, max_repeat)).select(
-        F.col("source").alias("_source"), "source_size", "target")
-    rows = rows.join(targets, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+        F.col("source").alias(key_of), "source_size", "target")
+    rows = rows.join(targets, F.col(source).eqNullSafe(F.col(key_of)), "left").drop(key_of)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     key = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text).cast("binary")), F.lit(""))
@@ -69,5 +69,5 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, seed: str = "mi
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """Each document as many times as it is taken."""
-    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    """Each document as many times as it is taken, numbered from 1 in a new column ``copy`` (with underscores behind it where that is taken)."""
+    return mixed.filter("copies > 0").withColumn(unused("copy", mixed), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
