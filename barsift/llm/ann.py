@@ -144,6 +144,36 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 _FOUND = "query_id bigint, vec_id bigint, score double"
 
 
+def _dealt(sizes: dict[int, int], leaves: int, room: int) -> tuple[dict[int, int], dict[int, int]]:
+    """First bin and number of bins of each leaf. Neighbouring small leaves share a bin of about ``room`` rows, large leaves are split."""
+    first, count, at, left = {}, {}, 0, room
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if n > left and left < room:
+            at, left = at + 1, room
+        first[leaf], count[leaf] = at, max(1, -(-n // room))
+        if n >= room:
+            at, left = at + count[leaf], room
+        else:
+            left -= n
+    return first, count
+
+
+def _binned(placed: DataFrame, sizes: dict[int, int], leaves: int, room: int, name: str) -> DataFrame:
+    """Rows with the bin that their leaf and the hash of their id give them. The table of leaves is bounded by the tree's sample."""
+    first, count = _dealt(sizes, leaves, room)
+    table = placed.sparkSession.createDataFrame([(leaf, first[leaf], count[leaf]) for leaf in range(leaves)], "leaf bigint, first int, count int")
+    at = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("count")).cast("int")
+    return placed.join(F.broadcast(table), "leaf").select(at.alias(name), "vec_id", "v")
+
+
+def copied(blocked: DataFrame, sought: DataFrame) -> DataFrame:
+    """Rows of each block, once for each run that visits the block: (block, run, vec_id, v)."""
+    # Aliases tell these columns from those of the queries that they meet.
+    wanted = sought.select(F.col("run").alias("run"), F.explode("blocks").alias("block")).distinct()
+    return blocked.join(wanted.hint("merge"), "block").select(F.col("block").alias("block"), F.col("run").alias("run"), "vec_id", "v")
+
+
 def exhaustive(queries: list, rows: DataFrame, k: int) -> DataFrame:
     """Exact neighbours of a bounded set of queries among all rows, block by block."""
     held = rows.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries]), np.array([v for _, v in queries])))
@@ -202,19 +232,8 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = RECALL, vec_i
     placed = staged(distinct.select("vec_id", "v").mapInArrow(place, "vec_id bigint, v array<double>, leaf bigint"))
     # One row per leaf, and the tree's sample bounds the leaves.
     sizes = dict(placed.groupBy("leaf").agg(F.count("*").alias("n")).collect())
-    first, count, block, room = {}, {}, 0, BLOCK
-    for leaf in range(tree.leaves):
-        n = sizes.get(leaf, 0)
-        if n > room and room < BLOCK:
-            block, room = block + 1, BLOCK
-        first[leaf], count[leaf] = block, max(1, -(-n // BLOCK))
-        if n >= BLOCK:
-            block, room = block + count[leaf], BLOCK
-        else:
-            room -= n
-    table = spark.createDataFrame([(leaf, first[leaf], count[leaf]) for leaf in range(tree.leaves)], "leaf bigint, first int, count int")
-    blocked = placed.join(F.broadcast(table), "leaf").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("count")).cast("int"))
-    blocked = staged(blocked.select("block", "vec_id", "v"))
+    first, count = _dealt(sizes, tree.leaves, BLOCK)
+    blocked = staged(_binned(placed, sizes, tree.leaves, BLOCK, "block"))
 
     queries = good.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min_by("v", key).alias("v"))
     trial = [(r[0], r[1]) for r in queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).collect()]
@@ -226,22 +245,20 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = RECALL, vec_i
     needed = np.sort([place_of[q][leaf] + 1 for q, leaf in truth.itertuples(index=False)])
     visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
 
-    # Queries meet blocks in runs of a bounded number; blocks are copied to the runs.
-    runs = queries.count() // QUERIES + 1
+    # Queries of neighbouring leaves form a run, so that a run visits few blocks, and a block is copied only to runs that visit it.
+    asked = staged(queries.select("vec_id", "v").mapInArrow(place, "vec_id bigint, v array<double>, leaf bigint"))
+    runs = _binned(asked, dict(asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()), tree.leaves, QUERIES, "run")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tree.__new__(Tree)
         t.__dict__ = held.value
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            of = [sorted({first[leaf] + i for leaf in t.best_first(q, visits) for i in range(count[leaf])}) for q in x]
-            at = pa.array(np.repeat(np.arange(len(x)), [len(v) for v in of]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("vec_id", "v", "run")), pa.array([b for v in of for b in v], pa.int32())],
-                                             ["query_id", "q", "run", "block"])
+            of = [sorted({first[leaf] + i for leaf in t.best_first(q, visits) for i in range(count[leaf])}) for q in _matrix(batch.column("v"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "run")), pa.array(of, pa.list_(pa.int32()))],
+                                             ["query_id", "q", "run", "blocks"])
 
-    run = F.pmod(F.xxhash64("vec_id"), F.lit(runs)).cast("int").alias("run")
-    visited = queries.select("vec_id", "v", run).mapInArrow(visit, "query_id bigint, q array<double>, run int, block int")
-    copied = blocked.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    sought = staged(runs.mapInArrow(visit, "query_id bigint, q array<double>, run int, blocks array<int>"))
+    visited = sought.withColumn("block", F.explode("blocks")).drop("blocks")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -251,5 +268,5 @@ def search(rows: DataFrame, is_query, k: int = 20, recall: float = RECALL, vec_i
                         _matrix(right.column("v").combine_chunks()), right.column("vec_id").to_numpy(), k)
         return pa.table([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
-    pairs = visited.groupBy("block", "run").cogroup(copied.groupBy("block", "run")).applyInArrow(compare, _FOUND)
+    pairs = visited.groupBy("block", "run").cogroup(copied(blocked, sought).groupBy("block", "run")).applyInArrow(compare, _FOUND)
     return _best(pairs, k)

@@ -192,6 +192,15 @@ def test_neighbours_reach_their_recall(spark, monkeypatch):
     assert set(got) == set(ids[ids % 20 == 0].tolist()) and hit / total >= 0.9
 
 
+def test_blocks_go_to_visiting_runs_only(spark):
+    blocked = spark.createDataFrame([(b, 10 * b + i, [1.0]) for b in range(6) for i in range(3)], "block int, vec_id long, v array<double>")
+    sought = spark.createDataFrame([(1, [1.0], 0, [0, 1]), (2, [1.0], 0, [1]), (3, [1.0], 1, [1, 4]), (4, [1.0], 2, [])], "query_id long, q array<double>, run int, blocks array<int>")
+    got = sorted((r.run, r.vec_id) for r in ann.copied(blocked, sought).collect())
+    assert got == [(0, 0), (0, 1), (0, 2), (0, 10), (0, 11), (0, 12), (1, 10), (1, 11), (1, 12), (1, 40), (1, 41), (1, 42)]
+    first, count = ann._dealt({0: 3, 1: 25, 2: 4, 3: 4, 4: 9}, 5, 10)
+    assert first == {0: 0, 1: 1, 2: 4, 3: 4, 4: 5} and count == {0: 1, 1: 3, 2: 1, 3: 1, 4: 1}
+
+
 def test_neighbours_of_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], schema)
