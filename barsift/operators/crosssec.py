@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .ranking import cumulative, percentile_rank, quantiles, row_numbers
 from .scoring import ratio
 
@@ -221,3 +222,15 @@ def balanced_sample(df: DataFrame, keys: list[str], per_side: int, hit: str = "l
     pick = Window.partitionBy(*keys, hit).orderBy("bucket_rank", "bucket")
     return placed.withColumn("sample_no", F.row_number().over(pick)).filter(
         F.col("sample_no") <= per_side).drop("row_no", "group_rows")
+
+
+def rank_evidence(df: DataFrame, columns: list[str], label: str = "y", **kw) -> DataFrame:
+    """Each feature's rank inside the session against the label: AUC over all rows, mean AUC of sessions that have both classes.
+
+    A rank of noise among the columns is the control: it should stay near one half on both.
+    """
+    ranked = staged(percentile_rank(melt(df, ["code", "date", label], columns), ["feature", "date"], "x", "pct", **kw))
+    whole = auc(ranked, ["feature"], label, "pct", **kw).select("feature", "auc")
+    per = auc(ranked, ["feature", "date"], label, "pct", **kw).filter("auc is not null")
+    means = per.groupBy("feature").agg(F.avg("auc").alias("mean_session_auc"), F.count(F.lit(1)).alias("n_sessions"))
+    return whole.join(means, "feature", "left")

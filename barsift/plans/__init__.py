@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("labels", "rules", "features", "selection", "research", "reports", "modelled", "nulls", "reconcile")
+FAMILIES = ("labels", "rules", "features", "selection", "research", "reports", "modelled", "nulls", "reconcile", "compared")
 
 
 def load():
