@@ -162,3 +162,57 @@ def pooled(test: DataFrame, floors: list[int], **kw) -> DataFrame:
         *[F.max(F.when(F.col("n_published") >= f, F.col("precision"))).alias(f"best_of_{f}") for f in floors])
     area = auc(test, ["variant"], **kw).select("variant", "auc")
     return got.join(area, "variant").join(cuts, "variant").withColumn("lift", ratio("precision", "base_rate_by_signals"))
+
+
+def fold_permutations(rows: DataFrame, plan: DataFrame, features: list[str], seeds: tuple[int, ...], label: str = "y", **kw) -> DataFrame:
+    """(variant, fold, role, date, code, y, x0 ..): the real labels and, for each seed, labels permuted inside every fold and role.
+
+    Real and permuted labels meet the same folds and rows, so folds can be paired. Rows without a label are left out. Written once.
+    """
+    known = rows.filter(F.col(label).isNotNull()).select("date", "code", F.col(label).cast("double").alias("y"),
+                                                         *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    by_fold = shuffled(known.join(plan.select("fold", "role", "date"), "date"), {f"_y{s}": ("y", f"null-{s}") for s in seeds},
+                       ["fold", "role"], ["date", "code"], **kw)
+    cases = [F.struct(F.lit(n).alias("variant"), y.alias("y")) for n, y in (("real", F.col("y")), *((f"null_{s}", F.col(f"_y{s}")) for s in seeds))]
+    got = by_fold.withColumn("_v", F.explode(F.array(*cases)))
+    return staged(got.select("_v.variant", "fold", "role", "date", "code", "_v.y", *[f"x{i}" for i in range(len(features))]))
+
+
+def sign_test(wins: Column, losses: Column) -> Column:
+    """Probability of at least so many wins among wins and losses that are equally likely; ties count as neither. 1 without any."""
+    n = wins + losses
+    start = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("p"), F.lit(0.0).alias("s"))
+
+    def step(acc: Column, k: Column) -> Column:
+        return F.struct((acc["p"] * (n - k) / (k + 1)).alias("p"), (acc["s"] + F.when(k >= wins, acc["p"]).otherwise(0.0)).alias("s"))
+
+    return F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step)["s"]
+
+
+def paired_verdict(folds: DataFrame, null_below: float = 1.6, rest_above: float = 2.0) -> DataFrame:
+    """One row per variant of ``fold_rows``: pooled precision and base rate, and for permuted labels how folds compare with the real ones.
+
+    ``folds_real_above``, ``mean_difference`` and ``sign_p`` pair real and permuted folds that both published. The row of real
+    labels holds ``without_largest``, the precision without the fold of most signals (ties: the earlier fold), and ``verdict``:
+    TRUSTWORTHY if each fold is above its own base rate, the mean permuted precision is under ``null_below`` base rates, and
+    ``without_largest`` is over ``rest_above`` base rates, else NEEDS REVIEW. One row per fold and variant goes in.
+    """
+    hits = F.col("signals") * F.coalesce("precision", F.lit(0.0))
+    real = folds.filter("variant = 'real'").select("fold", F.col("precision").alias("_real"))
+    diff = F.col("_real") - F.col("precision")
+    per = folds.withColumn("_h", hits).join(F.broadcast(real), "fold", "left").groupBy("variant").agg(
+        F.count(F.lit(1)).alias("n_folds"), F.sum("signals").alias("signals"), ratio(F.sum("_h"), F.sum("signals")).alias("precision"),
+        ratio(F.sum(F.col("base_rate") * F.col("n_test")), F.sum("n_test")).alias("base_rate"),
+        F.count_if(F.col("precision") > F.col("base_rate")).alias("folds_above_base"),
+        F.count_if(diff > 0).alias("folds_real_above"), F.count_if(diff < 0).alias("_below"), F.avg(diff).alias("mean_difference"),
+        F.max(F.struct("signals", (-F.col("fold")).alias("_f"), "_h")).alias("_top"))
+    null = F.col("variant") != "real"
+    per = per.withColumn("without_largest", F.when(~null, ratio(F.col("precision") * F.col("signals") - F.col("_top._h"), F.col("signals") - F.col("_top.signals"))))
+    nulls = per.filter(null).agg(F.avg("precision").alias("_null"))
+    got = per.join(F.broadcast(nulls))
+    stands = ((F.col("folds_above_base") == F.col("n_folds")) & (F.col("_null") < null_below * F.col("base_rate"))
+              & (F.col("without_largest") > rest_above * F.col("base_rate")))
+    return got.select(
+        "variant", "n_folds", "signals", "precision", "base_rate", "folds_above_base", F.when(null, F.col("folds_real_above")).alias("folds_real_above"),
+        F.when(null, F.col("mean_difference")).alias("mean_difference"), F.when(null, sign_test(F.col("folds_real_above"), F.col("_below"))).alias("sign_p"),
+        "without_largest", F.when(~null, F.when(stands, "TRUSTWORTHY").otherwise("NEEDS REVIEW")).alias("verdict"))

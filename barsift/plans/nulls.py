@@ -130,3 +130,40 @@ _POOL = [
 def _i05p(spark, folder):
     got = nb.pooled(_test_rows(spark, folder), FLOORS)
     return got.withColumns({c: r6(F.col(c)) for c in ("precision", "base_rate", "base_rate_by_signals", "lift", "auc", *[f"best_of_{f}" for f in FLOORS])})
+
+
+SEEDS = (11, 22)
+_OWN_X = _X[:len(FEATURES)]
+_FORMS = [
+    FOLDS,
+    "nk as (select p.code, p.date, y::double y, " + ", ".join(f"{c}::double x{i}" for i, c in enumerate(FEATURES)) + " from pop p)",
+    "fa as (select tag, fold, role, code, date, y v, row_number() over (partition by tag, fold, role order by date, code)-1 i, count(*) over (partition by tag, fold, role) n "
+    "from nk join fold using (date), (values " + ",".join(f"('null-{s}')" for s in SEEDS) + ") t(tag) where role is not null)",
+    *_bijection("fb", "fa", "tag", "fold,role,"),
+    f"""vr as (select 'real' as variant, fold, role, code, date, y, {', '.join(_OWN_X)} from nk join fold using (date) where role is not null
+  union all select replace(a.tag,'-','_'), a.fold, a.role, a.code, a.date, b.v, {', '.join(_OWN_X)} from fa a join fb{nb.ROUNDS} b on b.tag=a.tag and b.fold=a.fold and b.role=a.role and b.x=a.i
+  join nk k on k.code=a.code and k.date=a.date)""",
+    "wt as (select variant, fold, " + ", ".join(f"case when var_pop({x})>0 then (avg({x}) filter (y=1)-avg({x}) filter (y<>1))/var_pop({x}) end w_{x}" for x in _OWN_X)
+    + " from vr where role='train' group by all)",
+    "sc as (select variant, fold, role, date, code, y, " + "+".join(f"coalesce({x}*w_{x},0e0)" for x in _OWN_X) + " score from vr join wt using (variant, fold))",
+    _PARTS[-2], _PARTS[-1],
+    "fr as (select variant, fold, count(*) n, avg(y) b, sum(pub) s, sum(pub*y) h, avg(y) filter (pub=1) p from te group by all)",
+    """pa as (select a.variant, count(*) k, sum(a.s)::bigint s, sum(a.h)/nullif(sum(a.s),0) p, sum(a.b*a.n)/sum(a.n) b, count(*) filter (a.p>a.b) up,
+  count(*) filter (r.p>a.p) w, count(*) filter (r.p<a.p) l, avg(r.p-a.p) d from fr a left join (select fold, p from fr where variant='real') r using (fold) group by 1)""",
+    "tp as (select s, h from fr where variant='real' order by s desc, fold limit 1)",
+    "al as (select pa.*, case when variant='real' then (p*s-(select h from tp))/nullif(s-(select s from tp),0) end rest, (select avg(p) from pa where variant<>'real') np from pa)",
+]
+
+
+@query("m12_paired_verdict", popq(*_FORMS) + f"""select variant, k n_folds, s signals, {q.r6('p')} "precision", {q.r6('b')} base_rate, up folds_above_base,
+  case when variant<>'real' then w end folds_real_above, case when variant<>'real' then {q.r6('d')} end mean_difference,
+  case when variant<>'real' then {q.r6('list_sum(list_transform(range(w, w+l+1), lambda j: factorial((w+l)::int)/(factorial(j::int)*factorial((w+l-j)::int))))/pow(2e0,w+l)')} end sign_p,
+  {q.r6('rest')} without_largest, case when variant='real' then case when up=k and np<1.6::double*b and rest>2*b then 'TRUSTWORTHY' else 'NEEDS REVIEW' end end verdict from al""")
+def _m12p(spark, folder):
+    """Real labels against labels permuted inside every fold and role, over the same folds."""
+    rows = labelled(spark, folder, "webpro").filter("label_resolved")
+    score = (30.5 - F.col("close")) / 10.5 * 0.7 + 0.3 * close_location()
+    pop = staged(rows.select("code", "date", F.col("label_bull").alias("y"), score.alias("score"), "close", "volume", "high", "low"))
+    forms = nb.fold_permutations(pop, staged(plan_of(pop)), FEATURES, SEEDS)
+    got = nb.paired_verdict(nb.fold_rows(nb.published(nb.scored(forms), RATE)))
+    return got.withColumns({c: r6(F.col(c)) for c in ("precision", "base_rate", "mean_difference", "sign_p", "without_largest")})
