@@ -91,3 +91,22 @@ def test_returns_and_closing_labels(spark):
             else:
                 assert c.label_close is None and h.return_h is None
     assert {"no_entry", "bad_entry"} < states
+
+
+def test_long_horizons_make_no_row_per_pair_of_bars(spark):
+    """First hits of a long horizon come without a join; blocks end before, at and after the horizon's end."""
+    rows, panel = lattice(spark, {"7A": 400, "7B": 101, "7C": 100}, 3)
+    for horizon in (65, 81, 100):
+        df = forward_outcomes(panel, horizon, target_return=0.5, floor_ratio=0.75)
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+        seen = 0
+        for code, got in by_code(df).items():
+            for i, r in enumerate(got):
+                path = rows[code][i + 1:i + 1 + horizon]
+                hit = next((j for j, b in enumerate(path) if b[1] > path[0][0] * 1.5), None)
+                assert r.bars_to_target == (None if hit is None else hit + 1)
+                if len(path) == horizon:
+                    until = path if hit is None else path[:hit + 1]
+                    assert r.label_strict_low == int(min(b[2] for b in until) >= 0.75 * path[0][0])
+                    seen += hit is not None
+        assert seen
