@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,17 +59,19 @@ def bar_violations(panel: DataFrame) -> DataFrame:
     return panel.select("code", "date", F.explode(found).alias("violation"))
 
 
-def make_cards(panel: DataFrame, bars: int = 60) -> DataFrame:
+def make_cards(panel: DataFrame, bars: int = 60, rows: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Nested card of each bar that has a full window: its bars and indicator series.
 
-    Only for consumers that want the nested object; the scan itself uses windows.
+    Only for consumers that want the nested object; the scan itself uses windows. ``rows`` picks the bars that get a card,
+    by a filter on windows of a code, so that cards nobody asks for are never moved.
     """
     frame = span(-(bars - 1), 0)
     bar = F.struct("date", "open", "high", "low", "close", "volume", "turnover")
     df = panel.withColumns({
         "bars": F.collect_list(bar).over(frame), "_k": F.collect_list("kdj_k").over(frame),
         "_d": F.collect_list("kdj_d").over(frame)})
-    return df.filter(F.size("bars") == bars).select(
+    df = df.filter(F.size("bars") == bars) if rows is None else rows(df).filter(F.size("bars") == bars)
+    return df.select(
         F.concat_ws("|", "code", F.date_format("date", "yyyy-MM-dd")).alias("sample_id"), "code",
         F.col("date").alias("observation_date"), "bars",
         F.create_map(F.lit("kdj_k"), F.col("_k"), F.lit("kdj_d"), F.col("_d")).alias("indicators"))
@@ -87,10 +90,10 @@ def card_violations(cards: DataFrame, bars: int = 60) -> DataFrame:
 
 
 def explode_cards(cards: DataFrame) -> DataFrame:
-    """Cards back to bars; each card is its own history, keyed by sample."""
-    rows = cards.select("sample_id", "observation_date", F.posexplode("bars").alias("_i", "_b"), "indicators")
+    """Cards back to bars; each card is its own history, keyed by code and observation date."""
+    rows = cards.select("sample_id", "code", "observation_date", F.posexplode("bars").alias("_i", "_b"), "indicators")
     return rows.select(
-        F.col("sample_id").alias("code"), "observation_date", "_b.*",
+        "sample_id", "code", "observation_date", "_b.*",
         F.element_at(F.element_at("indicators", "kdj_k"), F.col("_i") + 1).alias("kdj_k"),
         F.element_at(F.element_at("indicators", "kdj_d"), F.col("_i") + 1).alias("kdj_d"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6, six_digit_code, wilson
 from ..functions.fixed import FEATURE_GROUPS, REGIMES
-from ..functions.windows import back
+from ..functions.windows import back, by_code_parts, histories
 from ..operators import audits as au
 from ..operators import context, crosssec as xs, grid, inference as inf, layers, matrix, scan, scoring
 from ..operators.cooldown import dedupe, first_per_year
@@ -269,9 +269,9 @@ def _j09(spark, folder):
 
 
 def cards_of(spark, folder) -> DataFrame:
-    panel = context.with_kdj(bars(spark, folder)).withColumn("turnover", F.col("volume"))
-    keys = grid.scan_grid(panel).select("code", F.col("date").alias("observation_date"))
-    return au.make_cards(panel).join(keys, ["code", "observation_date"], "left_semi")
+    # Cards hold sixty bars each; a fixed number of parts keeps a task's share of them small.
+    panel = by_code_parts(bars(spark, folder))
+    return au.make_cards(context.with_kdj(panel).withColumn("turnover", F.col("volume")), rows=grid.scan_grid)
 
 
 @query("j10_labels_with_features", LAB + "select count(*) bars, 0 repeated_keys, count(label_bull) with_label from s left join lab_webpro using (code, date)")
@@ -287,13 +287,13 @@ def _j10(spark, folder):
   {q.r6('avg((p=a)::int)')} accuracy from dc group by 1""")
 def _k44(spark, folder):
     """Cards exploded to bars, scored again from the card alone, and compared with the outcomes."""
-    cards = staged(cards_of(spark, folder))
-    hist = au.explode_cards(cards)
-    rows = scan.with_primitives(hist).filter(F.col("date") == F.col("observation_date"))
-    got = scan.decisions(rows, Strategies(["donchian_turtle", "rsi_mean_reversion"])).withColumnRenamed("code", "sample_id")
-    lab = labelled(spark, folder, "webpro").filter("label_resolved").select(
-        F.concat_ws("|", "code", F.date_format("date", "yyyy-MM-dd")).alias("sample_id"), F.col("label_bull").alias("actual"))
-    out = scoring.confusion(got.join(lab, "sample_id"), ["strategy_id"])
+    rows = au.explode_cards(cards_of(spark, folder))
+    with histories("code", "observation_date"):
+        rows = scan.with_primitives(rows)
+    rows = rows.filter(F.col("date") == F.col("observation_date"))
+    got = scan.decisions(rows, Strategies(["donchian_turtle", "rsi_mean_reversion"]))
+    lab = labelled(spark, folder, "webpro").filter("label_resolved").select("code", "date", F.col("label_bull").alias("actual"))
+    out = scoring.confusion(got.join(lab, ["code", "date"]), ["strategy_id"])
     return six(out.select("strategy_id", "tp", "tn", "fp", "fn", "errors", "accuracy"), "accuracy")
 
 

@@ -206,3 +206,27 @@ def test_events_fail_closed_on_keys_and_ids(spark):
         hz.label_events(panel, picks.join(calendar, "date"), calendar, 5).collect()
     with pytest.raises(Exception, match="repeated candidate"):
         hz.label_events(panel, picks.unionByName(picks), None, 5).collect()
+
+
+def test_cards_of_a_grid_and_their_scores_move_nothing(spark):
+    """Only grid bars get a card, and a card is scored where it lies: no exchange above the one on code."""
+    from barsift.functions.windows import histories
+    from barsift.operators import grid, scan
+    from barsift.operators.context import with_kdj
+
+    flat = to_spark(spark, wavy("000001", 90, 1), wavy("000002", 75, 2))
+    panel = with_kdj(flat.repartition(5, "code")).withColumn("turnover", F.col("volume"))
+    cards = au.make_cards(panel, rows=grid.scan_grid)
+    assert sorted(tuple(r) for r in cards.groupBy("code").count().collect()) == [("000001", 6), ("000002", 3)]
+    assert au.card_violations(cards).count() == 0
+    rows = au.explode_cards(cards)
+    with histories("code", "observation_date"):
+        rows = scan.with_primitives(rows)
+    rows = rows.filter("date = observation_date")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    # The card alone gives what the whole history gives, where sixty bars are enough.
+    whole = {(r.code, r.date): (r.top20, r.std20, r.card_bars) for r in scan.grid_rows(panel).collect()}
+    got = {(r.code, r.date): (r.top20, r.std20, r.card_bars) for r in rows.collect()}
+    assert got.keys() == whole.keys() and all(
+        g[0] == w[0] and abs(g[1] - w[1]) < 1e-9 and g[2] == w[2] == 60 for g, w in ((got[k], whole[k]) for k in got))
