@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6, six_digit_code, wilson
 from ..functions.fixed import FEATURE_GROUPS, REGIMES
-from ..functions.windows import back, by_code_parts, histories
+from ..functions.windows import back, histories, spread
 from ..operators import audits as au
 from ..operators import context, crosssec as xs, grid, inference as inf, layers, matrix, scan, scoring
 from ..operators.cooldown import dedupe, first_per_year
@@ -270,7 +270,7 @@ def _j09(spark, folder):
 
 def cards_of(spark, folder) -> DataFrame:
     # Cards hold sixty bars each; a fixed number of parts keeps a task's share of them small.
-    panel = by_code_parts(bars(spark, folder))
+    panel = spread(bars(spark, folder), "code")
     return au.make_cards(context.with_kdj(panel).withColumn("turnover", F.col("volume")), rows=grid.scan_grid)
 
 
