@@ -230,3 +230,28 @@ def test_cards_of_a_grid_and_their_scores_move_nothing(spark):
     got = {(r.code, r.date): (r.top20, r.std20, r.card_bars) for r in rows.collect()}
     assert got.keys() == whole.keys() and all(
         g[0] == w[0] and abs(g[1] - w[1]) < 1e-9 and g[2] == w[2] == 60 for g, w in ((got[k], whole[k]) for k in got))
+
+
+def test_market_and_session_statistics_move_no_rows(spark):
+    """Rows meet one row per session, or per feature and session, without a shuffle of their own."""
+    flat = to_spark(spark, wavy("000001", 90, 1), wavy("000002", 75, 2))
+    price = matrix.with_price_features(flat)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = price.select("code", "date", "ret1", "_up")
+        assert matrix.with_market_features(plain)._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
+        cross = matrix.with_cross_section(price)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [feature" in cross
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_asked_rows_keep_their_ranks_among_all(spark):
+    rows = matrix.with_price_features(to_spark(spark, wavy("000001", 70, 1), wavy("000002", 66, 2), wavy("000003", 68, 3)))
+    asked = F.dayofmonth("date") % 5 == 0
+    names = ["code", "date", "cs_ret5_rank", "cs_ret5_z", "cs_pos60_rank"]
+    got = matrix.with_cross_section(rows, asked=asked).select(*names).toPandas()
+    want = matrix.with_cross_section(rows).filter(asked).select(*names).toPandas()
+    assert 0 < len(got) < 70
+    pd.testing.assert_frame_equal(*[t.sort_values(["code", "date"]).reset_index(drop=True) for t in (got, want)])
