@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import both, guarded
 from ..functions.fixed import EPS
-from ..functions.windows import back, by_code, ewm, roll
+from ..functions.windows import back, blocked, by_code, ewm, in_blocks, roll, spread
 from .context import true_range
 
 LAYER_FEATURES = (
@@ -53,7 +53,16 @@ def rsi_simple(gain: str, loss: str, window: int) -> Column:
 
 
 def with_layers(panel: DataFrame) -> DataFrame:
-    """Panel with the layer features, the stabilization flag, ``recall_tier`` 0..5 and the year."""
+    """Panel with the layer features, the stabilization flag, ``recall_tier`` 0..5 and the year.
+
+    Rows get wide and bars are few bytes, so they are dealt over all shuffle partitions; the means and all windows share one sort.
+    """
+    panel = blocked(spread(panel, "code"))
+    with in_blocks():
+        return _layers(panel)
+
+
+def _layers(panel: DataFrame) -> DataFrame:
     df = with_adx(with_ema(panel))
     o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
     df = df.withColumns({"_c1": back("close", 1), "_day": F.greatest(h - lo, F.lit(1e-12))})
