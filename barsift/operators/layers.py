@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import both, guarded
 from ..functions.fixed import EPS
-from ..functions.windows import back, blocked, by_code, ewm, in_blocks, roll, spread
+from ..functions.windows import back, blocked, by_code, ewm, in_blocks, roll
 from .context import true_range
 
 LAYER_FEATURES = (
@@ -55,9 +55,9 @@ def rsi_simple(gain: str, loss: str, window: int) -> Column:
 def with_layers(panel: DataFrame) -> DataFrame:
     """Panel with the layer features, the stabilization flag, ``recall_tier`` 0..5 and the year.
 
-    Rows get wide and bars are few bytes, so they are dealt over all shuffle partitions; the means and all windows share one sort.
+    Rows get wide, so the means and all windows share one sort of narrow rows.
     """
-    panel = blocked(spread(panel, "code"))
+    panel = blocked(panel)
     with in_blocks():
         return _layers(panel)
 
