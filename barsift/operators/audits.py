@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import Z_EXACT
 from ..functions.columns import wilson
-from ..functions.windows import back, seq, span
+from ..functions.windows import back, seq, span, spread
 from .crosssec import melt
 from .ranking import quantiles
 from .scoring import ratio
@@ -108,6 +108,17 @@ def differences(left: DataFrame, right: DataFrame, columns: list[str], keys: tup
         F.count(F.lit(1)).alias("compared"), F.max(d).alias("max_abs_diff"), _count((d > tolerance) | one).alias("differing"))
 
 
+def key_differences(left: DataFrame, right: DataFrame, only_left: str, only_right: str, keys: tuple[str, ...] = ("code", "date")) -> DataFrame:
+    """Keys of one side that the other lacks, as often as they are missing there, with their ``side``.
+
+    Both sides are counted in one aggregate over all shuffle partitions, as keys alone shuffle as few bytes.
+    """
+    both = left.select(*keys, F.lit(1).alias("_n")).unionByName(right.select(*keys, F.lit(-1).alias("_n")))
+    gap = spread(both, *keys).groupBy(*keys).agg(F.sum("_n").alias("_gap")).filter("_gap <> 0")
+    side = F.when(F.col("_gap") > 0, only_left).otherwise(only_right)
+    return gap.select(*keys, side.alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_gap"))).alias("_i")).drop("_i")
+
+
 def truncation_test(panel: DataFrame, build, columns: list[str], cutoff: str, tolerance: float = 1e-6) -> DataFrame:
     """Features rebuilt on data up to the cutoff against the full build: a difference means look-ahead."""
     day = F.lit(cutoff).cast("date")
