@@ -73,3 +73,42 @@ def test_configurations_that_differ_in_rate_share_a_fit(spark, monkeypatch):
     two = [models.Config(f"r{r}", "logistic", target_rate=r, features=("f",), settings={"maxIter": 3}, min_train=10, min_test=10) for r in (0.1, 0.4)]
     got = {x["config"]: x for x in models.search(rows, plan, two, [1]).collect()}
     assert fitted == ["r0.1"] and set(got) == {"r0.1", "r0.4"}
+
+
+def test_windows_by_doubling_are_the_sliding_ones(spark):
+    from barsift.functions.windows import by_doubling, roll
+    df = bars(spark, 420)
+    asked = {f"{how}{w}{c}": (c, how, w, w // 3) for how in ("max", "min", "sum", "mean") for w in (1, 5, 64, 250) for c in ("close", "x")}
+    got = by_doubling(df, asked)
+    slid = got.select("*", *[roll(c, w, how, least=max(1, least)).alias(f"_{o}") for o, (c, how, w, least) in asked.items()])
+    wrong = [F.count_if(~F.col(o).eqNullSafe(F.col(f"_{o}")) if how in ("max", "min") else ~F.coalesce(
+        F.abs(F.col(o) - F.col(f"_{o}")) < 1e-11, F.col(o).isNull() & F.col(f"_{o}").isNull())).alias(o) for o, (_, how, _, _) in asked.items()]
+    assert set(slid.agg(*wrong).first().asDict().values()) == {0}
+
+
+def test_ranges_are_found_by_halving(spark):
+    from barsift.operators.ranking import _passed
+    df = spark.sql("select id p, transform(sequence(1, 1 + id % 37), i -> i * 3) c from range(120) union all select 5, cast(null as array<bigint>)")
+    got = df.select("p", "c", F.coalesce(_passed("c", F.col("p")), F.lit(0)).alias("n")).collect()
+    assert all(r["n"] == sum(x <= r["p"] for x in r["c"] or []) for r in got)
+    assert "filter(" not in _passed("c", F.col("p"))._jc.toString()
+
+
+def test_key_differences_count_repeats(spark):
+    from barsift.operators.audits import key_differences
+    a, b = (spark.createDataFrame(x, "code string, date string") for x in ([("1", "a"), ("1", "a"), ("2", None)], [("1", "a"), ("3", "c")]))
+    got = key_differences(a, b, "l", "r")
+    assert sorted(map(tuple, got.collect()), key=str) == [("1", "a", "l"), ("2", None, "l"), ("3", "c", "r")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_report_values_round_as_spark_does(spark):
+    from barsift.functions.columns import NUDGE, r6
+    r = random.Random(9)
+    odd = [None, 0.0, -0.0, float("nan"), float("inf"), -float("inf"), 1e-9, -2.5e-7, 1e10 + 0.1234565, 3e300, -1234567.0000005]
+    near = [(r.randrange(-10 ** 7, 10 ** 7) + 0.5) / 10 ** d - NUDGE + e for d in (5, 6) for e in (0, 1e-12, -1e-12) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in odd + near + [r.gauss(0, 10 ** r.randrange(-7, 9)) for _ in range(20000)]], "x double")
+    for digits in (5, 6):
+        want = F.round(F.col("x") + F.lit(NUDGE), digits) + F.lit(0.0)
+        assert df.filter(~r6(F.col("x"), digits).eqNullSafe(want)).count() == 0
