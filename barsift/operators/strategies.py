@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import both, clip, flag, over_eps
@@ -69,26 +69,27 @@ def _primitive_stages(keys: tuple[str, ...], order: tuple[str, ...]) -> tuple[di
     raw = {f"c{n}": back("close", n) for n in LAGS}
     raw |= {
         "seq": seq(), "o1": back("open", 1), "tr": true_range(),
-        "card_bars": F.sum("_usable").over(span(-(CARD_BARS - 1), 0)),
-        "vr_now": roll("volume", 5), "vr_base": roll("volume", 16, skip=5),
-        "vr1_now": roll("volume", 5, skip=1), "vr1_base": roll("volume", 16, skip=6),
-        "vr5_now": roll("volume", 5, skip=5), "vr5_base": roll("volume", 16, skip=10),
+        "_usable_yet": F.sum("_usable").over(span(Window.unboundedPreceding, 0)),
+        "vr_now": roll("volume", 5), "_vol16": roll("volume", 16),
         "vol_sum10": roll("volume", 10, "sum"), "vol_mean20": roll("volume", 20),
-        "tm5": roll("turnover", 5), "tm10": roll("turnover", 10), "ts10": roll("turnover", 10, "pstd"),
-        "tm20_5": roll("turnover", 20, skip=5),
-        "top5_1": roll("close", 5, "max", skip=1), "top20_1": roll("close", 20, "max", skip=1),
-        "top40_1": roll("close", 40, "max", skip=1), "top20_2": roll("close", 20, "max", skip=2),
-        "low20_1": roll("close", 20, "min", skip=1),
-        "top20": roll("close", 20, "max"), "top10": roll("close", 10, "max"), "bot10": roll("close", 10, "min"),
-        "top20_10": roll("close", 20, "max", skip=10), "bot20_10": roll("close", 20, "min", skip=10),
-        "top20_21": roll("close", 20, "max", skip=21), "bot20_21": roll("close", 20, "min", skip=21),
-        "base_close": roll("close", 20, "min", skip=15), "base_low": roll("low", 10, "min", skip=5),
-        "hi10": roll("high", 10, "max"), "hi10_10": roll("high", 10, "max", skip=10),
-        "lo10": roll("low", 10, "min"), "lo10_10": roll("low", 10, "min", skip=10),
+        "tm5": roll("turnover", 5), "tm10": roll("turnover", 10), "ts10": roll("turnover", 10, "pstd"), "_tm20": roll("turnover", 20),
+        "_top5": roll("close", 5, "max"), "top20": roll("close", 20, "max"), "_bot20": roll("close", 20, "min"),
+        "top10": roll("close", 10, "max"), "bot10": roll("close", 10, "min"),
+        "hi10": roll("high", 10, "max"), "lo10": roll("low", 10, "min"),
         "mean20": roll("close", 20), "std20": roll("close", 20, "pstd"),
-        "std5": roll("close", 5, "pstd"), "std15_5": roll("close", 15, "pstd", skip=5),
-        "cl_new": roll("cl", 5), "cl_old": roll("cl", 5, skip=5),
-        "kd_2": back("kd", 2), "kd_4": back("kd", 4), "k_min5": roll("kdj_k", 5, "min"),
+        "std5": roll("close", 5, "pstd"), "_std15": roll("close", 15, "pstd"),
+        "cl_new": roll("cl", 5), "kd_2": back("kd", 2), "kd_4": back("kd", 4), "k_min5": roll("kdj_k", 5, "min"),
+    }
+    # A window that ends some bars ago is the value that its statistic had then.
+    earlier = {
+        "card_bars": F.col("_usable_yet") - F.coalesce(back("_usable_yet", CARD_BARS), F.lit(0)),
+        "vr_base": back("_vol16", 5), "vr1_now": back("vr_now", 1), "vr1_base": back("_vol16", 6),
+        "vr5_now": back("vr_now", 5), "vr5_base": back("_vol16", 10), "tm20_5": back("_tm20", 5),
+        "top5_1": back("_top5", 1), "top20_1": back("top20", 1), "top20_2": back("top20", 2), "low20_1": back("_bot20", 1),
+        "top40_1": F.greatest(back("top20", 1), back("top20", 21)),
+        "top20_10": back("top20", 10), "bot20_10": back("_bot20", 10), "top20_21": back("top20", 21), "bot20_21": back("_bot20", 21),
+        "base_close": back("_bot20", 15), "base_low": back("lo10", 5), "hi10_10": back("hi10", 10), "lo10_10": back("lo10", 10),
+        "std15_5": back("_std15", 5), "cl_old": back("cl_new", 5),
     }
     c1 = F.col("c1")
     change = c - c1
@@ -99,7 +100,7 @@ def _primitive_stages(keys: tuple[str, ...], order: tuple[str, ...]) -> tuple[di
         "gain": F.greatest(change, F.lit(0.0)),
         "loss": F.greatest(-change, F.lit(0.0)),
     }
-    sums = {
+    sums = earlier | {
         "r_1": back("r1", 1), "r_2": back("r1", 2), "r_7": back("r1", 7), "r_8": back("r1", 8),
         "r_9": back("r1", 9), "r_max5": roll("r1", 5, "max"),
         "r_up10": F.sum(flag(F.col("r1") > 0)).over(span(-9, 0)),

@@ -112,3 +112,19 @@ def test_report_values_round_as_spark_does(spark):
     for digits in (5, 6):
         want = F.round(F.col("x") + F.lit(NUDGE), digits) + F.lit(0.0)
         assert df.filter(~r6(F.col("x"), digits).eqNullSafe(want)).count() == 0
+
+
+def test_earlier_windows_are_lags_of_one_statistic(spark):
+    from barsift.functions.windows import roll, span
+    r = random.Random(4)
+    rows = [(c, i, *[round(20 + r.random(), 2) for _ in range(4)], None if r.random() < 0.1 else float(r.randrange(100))) for c in ("000001", "000002") for i in range(130)]
+    df = spark.createDataFrame(rows, "code string, i int, open double, high double, low double, close double, volume double")
+    df = df.withColumn("date", F.date_add(F.lit("1990-01-01").cast("date"), F.col("i")))
+    asked = {"vr_base": ("volume", 16, "mean", 5), "vr5_base": ("volume", 16, "mean", 10), "top40_1": ("close", 40, "max", 1), "bot20_21": ("close", 20, "min", 21),
+             "base_low": ("low", 10, "min", 5), "std15_5": ("close", 15, "pstd", 5), "cl_old": ("cl", 5, "mean", 5), "tm20_5": ("turnover", 20, "mean", 5)}
+    got = strategies.with_primitives(df)
+    assert got.select("*", F.sum("_usable").over(span(-59, 0)).alias("_cards")).filter("card_bars <> _cards").count() == 0
+    slid = got.select("*", *[roll(c, w, how, skip=skip).alias(f"_w_{o}") for o, (c, w, how, skip) in asked.items()])
+    assert set(slid.agg(*[F.count_if(~F.col(o).eqNullSafe(F.col(f"_w_{o}"))).alias(o) for o in asked]).first()) == {0}
+    frames = set(__import__("re").findall(r"RowFrame, -(\d+), currentrow", got._jdf.queryExecution().optimizedPlan().toString()))
+    assert max(map(int, frames)) < 21
