@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import settled, staged
 from .common import chunks, utf8
 
 #: Tokens of a window; an item with fewer has one window, of its own length.
@@ -43,6 +44,8 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _UNSPACED = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2}")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _REMEMBERED = 300_000
+#: Text bytes handled at once; some twenty numbers a token are held beside them.
+_CHUNK = 512 << 10
 
 
 class Tokens:
@@ -50,7 +53,7 @@ class Tokens:
 
     def __init__(self):
         self.index: dict[bytes, int] = {}
-        self._rows: list[tuple[int, int, bool]] = []
+        self._hash, self._kind, self._ends = array("Q"), array("b"), array("b")
 
     def number(self, raw: bytes) -> int:
         i = self.index.get(raw)
@@ -66,13 +69,14 @@ class Tokens:
                 kind = _UNIT
             else:
                 kind = _CAPITAL if plain[0].isupper() and plain[1:].islower() else _WORD
-            i = self.index[raw] = len(self._rows)
-            self._rows.append((xxhash.xxh3_64_intdigest(low.encode()), kind, text[-1:] in ".!?:" or text[-2:-1] in tuple(".!?")))
+            i = self.index[raw] = len(self._kind)
+            self._hash.append(xxhash.xxh3_64_intdigest(low.encode()))
+            self._kind.append(kind)
+            self._ends.append(text[-1:] in ".!?:" or text[-2:-1] in tuple(".!?"))
         return i
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, kind, ends = zip(*self._rows, strict=True)
-        return np.array(h, np.uint64), np.array(kind, np.int8), np.array(ends)
+        return np.array(self._hash, np.uint64), np.array(self._kind, np.int8), np.array(self._ends, bool)
 
 
 def _powered(h: np.ndarray, width: int) -> np.ndarray:
@@ -147,7 +151,7 @@ def _spread(rows: DataFrame, widths: list[int] | None, bits: np.ndarray | None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
-        for part in chunks(batches):
+        for part in chunks(batches, limit=_CHUNK):
             if len(tokens.index) > _REMEMBERED:
                 tokens = Tokens()
             ids, hashes, texts = (part.column(c).to_pylist() for c in ("id", "text_hash", "text"))
@@ -244,5 +248,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """``docs`` without the contaminated documents; all other rows as they are."""
-    bad = staged(matches(docs, benchmark, doc_id, text, **names).select(F.col("doc_id").alias("_id"), "text_hash").distinct())
+    bad = settled(lambda: matches(docs, benchmark, doc_id, text, **names).select(F.col("doc_id").alias("_id"), "text_hash").distinct())
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text]) == bad["text_hash"]), "left_anti")

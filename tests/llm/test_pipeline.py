@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
+from types import SimpleNamespace
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from docs import plain, prose, table
 
 from barsift.llm import decontaminate
@@ -72,3 +76,19 @@ def test_passages_of_over_fifty_words_are_cut(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.repeated_text(spark, table(spark, rows), "").collect()}
     assert [got[i] for i in (0, 1, 20, 21)] == ["x1y1", "z2w2"] * 2
     assert [got[i] for i in (10, 11)] == [rows[2][1], rows[3][1]]
+
+
+def test_windows_take_little_memory():
+    made = []
+    rows = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))),
+                           schema={"id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}, mapInArrow=lambda f, _: made.append(f))
+    decontaminate._spread(rows, [decontaminate.WINDOW], np.zeros(1 << decontaminate.FILTER_BITS - 3, np.uint8))
+    texts = [" ".join(f"w{i * 997 % 40_000}" for i in range(k, k + 5_000)).encode() for k in range(0, 500_000, 5_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["id", "text_hash", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in made[0](iter([batch]))) == 0
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 << 20
