@@ -1,7 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them.
 
-A bound on 64 fingerprint bits that is wide enough for that similarity (about 17) leaves no selective key, so
-candidates come from the shingles themselves. In any one order of all shingles, two such sets share one among the
+SimHash comes first: fingerprints of the sets that link at two bits form groups, and members are checked against the
+first of their group on the whole sets. What is confirmed is one component from then on.
+
+A bound on 64 fingerprint bits that is wide enough for that similarity (about 17) leaves no selective key, so the
+candidates that two bits miss come from the shingles themselves, between different components only. In any one order of all shingles, two such sets share one among the
 first fifth of each (prefix filter), and the first they share lies early in both (position filter). The order is by
 how often a shingle occurs, so common passages come last; it is read from counters of fixed size, which
 may err without losing a pair, as every order will do. Candidates are checked on the whole sets.
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .common import chunks, split_by_hash, utf8
-from .simhash import SALTS, components
+from .simhash import SALTS, components, links, majority
 
 WORDS = 5
 #: Counters of shingles, as bits of their hash; only the order of shingles depends on them.
@@ -75,25 +78,26 @@ def _counters(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, counters: np.ndarray) -> DataFrame:
-    """(doc_id, t, node, size, prefix): the shingles by which a set of that size must meet its near copies, in order."""
+    """(doc_id, t, node, fp, size, prefix): the set's fingerprint, and the shingles by which a set of that size must meet its near copies, in order."""
     held = texts.sparkSession.sparkContext.broadcast(counters)
     shift = np.uint64(64 - COUNTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            node, size, prefix = [], [], []
+            node, prints, size, prefix = [], [], [], []
             for t in part.column("text").to_pylist():
                 s = shingles(t)
                 n = len(s)
                 first = np.lexsort((s, held.value[(s >> shift).astype(np.int64)]))[:n - (4 * n + 4) // 5 + 1 if n else 0]
                 node.append(_node(s))
+                prints.append(majority(s))
                 size.append(n)
                 prefix.append(s[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(node, pa.int64()), pa.array(size, pa.int32()),
-                                              pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "t", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(node, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)),
+                                              pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "t", "node", "fp", "size", "prefix"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, t bigint, node bigint, size int, prefix array<bigint>")
+    return texts.mapInArrow(run, f"doc_id {kind}, t bigint, node bigint, fp bigint, size int, prefix array<bigint>")
 
 
 def _may(na: Column, i: Column, nb: Column, j: Column) -> Column:
@@ -121,19 +125,31 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def by_fingerprint(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): each node whose fingerprint links it to a group, with the group's first node, where their sets reach the similarity."""
+    prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    groups = components(links(prints.select("fp"))).withColumnRenamed("node", "fp")
+    placed = nodes.select("node", "fp").join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    pairs = placed.join(prints.select(F.col("fp").alias("root"), "first"), "root").filter("first != node")
+    return _confirmed(staged(pairs.select(F.col("first").alias("a"), F.col("node").alias("b"))), nodes, texts)
+
+
 def _linked(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of all nodes that have a near copy."""
-    rows = found.select("node", "size", "prefix").dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("i", "h"))
+    close = staged(by_fingerprint(nodes, texts))
+    rows = found.select("node", "size", "prefix").dropDuplicates(["node"])
+    rows = rows.join(close.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.select("node", "root", "size", F.posexplode("prefix").alias("i", "h"))
     bucket = Window.partitionBy("h")
-    hub = F.min(F.struct("node", "size", "i")).over(bucket).alias("hub")
-    shared = staged(rows.select("*", F.count("*").over(bucket).alias("n"), hub).filter("n > 1"))
+    apart = F.min("root").over(bucket) < F.max("root").over(bucket)
+    hub = F.min(F.struct("node", "root", "size", "i")).over(bucket).alias("hub")
+    shared = staged(rows.select("*", apart.alias("apart"), hub).filter("apart").drop("apart"))
     # First each member with the least of its bucket: in a large group of near copies that links nearly all.
-    far = (F.col("hub.node") < F.col("node")) & _may(F.col("hub.size"), F.col("hub.i"), F.col("size"), F.col("i"))
+    far = (F.col("hub.root") != F.col("root")) & _may(F.col("hub.size"), F.col("hub.i"), F.col("size"), F.col("i"))
     stars = staged(shared.filter(far).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    edges = staged(_confirmed(stars, nodes, texts))
+    edges = staged(close.unionByName(_confirmed(stars, nodes, texts)))
     # Then all pairs of a bucket that aren't in one component yet.
     joined = shared.select("node", "size", "i", "h").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = F.min("root").over(bucket) < F.max("root").over(bucket)
     left = staged(joined.withColumn("apart", apart).filter("apart").drop("apart"))
     x, y = (left.select("h", *[F.col(c).alias(c + k) for c in ("node", "size", "i", "root")]) for k in "ab")
     pairs = x.join(y, "h").filter((F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _may(
@@ -150,7 +166,7 @@ def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), utf8(F.col(text)).alias("text"))
     found = staged(_prefixes(texts, _counters(texts)))
-    nodes = staged(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("t").alias("t")))
+    nodes = staged(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("t").alias("t"), F.first("fp").alias("fp")))
     roots = staged(_linked(found, nodes, texts))
     ids = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = staged(ids.groupBy("root").agg(F.min("least").alias("component_id")))

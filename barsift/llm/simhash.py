@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import settled, staged
 from .common import chunks, split_by_hash, unused, utf8
 
 SHINGLE = 3
@@ -36,7 +36,11 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
     k = min(words, len(tokens))
     stops = ends[k - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=False)], np.uint64)
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=False)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         bits = np.unpackbits(h[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -186,7 +190,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", judge:
     Of repeated rows with that id one stays, the first by the text's bytes. Of a component whose ids are all null
     one row per different text stays.
     """
-    judged = staged(judge(docs, text, doc_id))
+    judged = settled(lambda: judge(docs, text, doc_id))
     again = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).filter("n > 1 or _id is null").select("_id")
     again = staged(again)
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))

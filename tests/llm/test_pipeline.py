@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import tracemalloc
 from types import SimpleNamespace
 
@@ -11,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 from docs import plain, prose, table
 
-from barsift.llm import decontaminate
+from barsift import session
+from barsift.llm import decontaminate, nearcopies, simhash
 
 
 def shingled(text):
@@ -78,6 +80,35 @@ def test_passages_of_over_fifty_words_are_cut(spark):
     assert [got[i] for i in (10, 11)] == [rows[2][1], rows[3][1]]
 
 
+def test_near_copies_are_first_grouped_by_fingerprint(spark, monkeypatch):
+    words = prose("en", 900, 970).split()
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1]), prose("de", 300, 971)]
+    sets = [nearcopies.shingles(t.encode()) for t in texts]
+    prints = [simhash.majority(s) for s in sets]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.DIFFER < (prints[0] ^ prints[2]).bit_count()
+    seen, links = [], nearcopies.links
+    monkeypatch.setattr(nearcopies, "links", lambda p: seen.extend(r.fp for r in p.collect()) or links(p))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()) == [0, 2, 3]
+    assert {x % 2**64 for x in seen} == set(prints)
+    # One fingerprint for all: unlike sets of a group are told apart.
+    nodes = [(nearcopies._node(s), i, 5) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(nodes, "node long, t long, fp long")
+    held = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)], "t long, text binary")
+    first = min(r[0] for r in nodes.collect())
+    near = {nearcopies._node(sets[0]), nearcopies._node(sets[1])}
+    found = {frozenset(r) for r in nearcopies.by_fingerprint(nodes, held).collect()}
+    assert found == ({frozenset(near)} if first in near else set())
+
+
+def test_tables_staged_on_the_way_are_removed(spark):
+    before = set(os.listdir(session._stages(spark))) if os.path.isdir(session._stages(spark)) else set()
+    docs = table(spark, [*plain(12), (50, plain(1)[0][1], "en", "s", 0)])
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert len(set(os.listdir(session._stages(spark))) - before) <= 4
+    assert sorted(r.doc_id for r in got.collect()) == list(range(12))
+
+
 def test_windows_take_little_memory():
     made = []
     rows = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))),
