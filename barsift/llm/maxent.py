@@ -134,17 +134,27 @@ class _Room:
 
 
 def _sums(base: np.ndarray, at, table: np.ndarray, rows: list[np.ndarray], z: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """base + the table's rows, the greatest of a token taken off."""
+    """base + the table's rows."""
     n = len(rows[0])
     z, more = z[:n], more[:n]
     np.take(table, rows[0], axis=0, out=z, mode="clip")
     for r in rows[1:]:
         z += np.take(table, r, axis=0, out=more, mode="clip")
     z += base if at is None else np.take(base, at, axis=0, out=more, mode="clip")
-    z -= z.max(1, keepdims=True)
     return z
 
 
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the powers of every row, which ``z`` then holds, and the logarithm of what they were divided by."""
+    top = np.float32(0)
+    if z.max(initial=0) > 60 or z.min(initial=0) < -60:
+        # Beyond what floats hold as they are, the greatest of a row is taken off; looking for it in short rows costs more than the powers.
+        top = z.max(1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    return np.einsum("ij->i", z), top
+
+
 def _chances(cell, classes, slots, weights, room: _Room) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of the token's class and of its slot."""
     bias, class_table, slot_bias, slot_table = weights
@@ -153,7 +163,8 @@ def _chances(cell, classes, slots, weights, room: _Room) -> tuple[np.ndarray, np
     for base, of, table, rows, own, k in ((bias, None, class_table, classes, c, CLASSES), (slot_bias, c, slot_table, slots, s, SLOTS)):
         z = _sums(base, of, table, rows, room.z[k], room.more[k])
         mine = z[at, own]
-        out.append(mine - np.log(np.exp(z, out=z).sum(1)))
+        total, top = _exp(z)
+        out.append(mine - top - np.log(total))
     return out[0], out[1]
 
 
@@ -163,27 +174,26 @@ def _expected(cell, classes, slots, weights, room: _Room) -> tuple[np.ndarray, n
     out = []
     for base, of, table, rows, k in ((bias, None, class_table, classes, CLASSES), (slot_bias, cell // SLOTS, slot_table, slots, SLOTS)):
         z = _sums(base, of, table, rows, np.empty((len(cell), k), np.float32), room.more[k])
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        total, _ = _exp(z)
+        z /= total[:, None]
         out.append(z)
     return out[0], out[1]
 
 
 class _Adder:
-    """Adds rows of values to rows of a table; what it needs beside them is kept and used again, as making it costs more than the sums."""
+    """Adds rows of values to rows of a table; places are kept and used again, as making them costs more than the sums."""
 
     def __init__(self):
-        self.at = {k: np.empty((_TOKENS, k), np.int64) for k in {CLASSES, SLOTS}}
-        self.values = {k: np.empty((_TOKENS, k)) for k in {CLASSES, SLOTS}}
+        # Two neighbours are added as one complex number: half the places, the same sums.
+        self.at = {k: np.empty((_TOKENS, k // 2), np.int64) for k in {CLASSES, SLOTS}}
 
     def add(self, total: np.ndarray, rows: list[np.ndarray], values: np.ndarray) -> None:
-        """Add to each row of ``total`` all values that name it, for each list of rows."""
+        """Add to each row of ``total`` all values that name it, for each list of rows; all are single floats."""
         n, k = values.shape
-        at, held = self.at[k][:n], self.values[k][:n]
-        held[:] = values
+        at = self.at[k][:n]
         for r in rows:
-            np.add((r.astype(np.int64) * k)[:, None], np.arange(k), out=at)
-            np.add.at(total.reshape(-1), at.reshape(-1), held.reshape(-1))
+            np.add((r.astype(np.int64) * (k // 2))[:, None], np.arange(k // 2), out=at)
+            np.add.at(total.reshape(-1).view(np.complex64), at.reshape(-1), values.reshape(-1).view(np.complex64))
 
 
 #: Table sizes in the order in which they travel, flat, and floats of one travelling block.
@@ -214,6 +224,9 @@ def _summed(docs: DataFrame, weights) -> np.ndarray:
         shaped = _shaped(flat)
         _, class_table, slot_bias, slot_table = (x.reshape(-1) for x in shaped)
         words, room, adder, any_row = Words(), _Room(), _Adder(), False
+        # Sums of one chunk are single floats, so that the tables they are spread over stay in the cache.
+        near = np.zeros(0 if held is None else _SIZE, np.float32)
+        tables = () if held is None else _shaped(near)[1::2]
         pending: list = []
 
         def settle():
@@ -237,11 +250,14 @@ def _summed(docs: DataFrame, weights) -> np.ndarray:
                     pending += [(1, r * np.int32(SLOTS) + s) for r in slots]
                     continue
                 at = np.arange(len(cell))
-                for of, own, table, p in zip((classes, slots), (c, s), (shaped[1], shaped[3]), _expected(cell, classes, slots, held.value, room), strict=True):
+                for of, own, table, p in zip((classes, slots), (c, s), tables, _expected(cell, classes, slots, held.value, room), strict=True):
                     np.negative(p, out=p)
                     p[at, own] += 1
                     adder.add(table, of, p)
             settle()
+            if held is not None:
+                flat += near
+                near[:] = 0
         if any_row:
             if held is None:
                 flat[:CLASSES] = slot_bias.reshape(CLASSES, SLOTS).sum(1)

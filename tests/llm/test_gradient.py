@@ -29,3 +29,16 @@ def test_gradient_is_exact_for_copied_texts(spark):
                 want[table_][r[i]] += 200 * p
     got = maxent._shaped(maxent._summed(docs, weights))
     assert np.allclose(got[1], want[1], atol=0.05) and np.allclose(got[3], want[3], atol=0.05)
+
+
+def test_rows_are_added_and_powers_hold_beyond_floats():
+    import numpy as np
+
+    from barsift.llm import maxent
+
+    total, values = np.zeros((4, maxent.CLASSES), np.float32), np.random.default_rng(1).random((3, maxent.CLASSES)).astype(np.float32)
+    maxent._Adder().add(total, [np.array([2, 0, 2], np.int32)], values)
+    assert np.allclose(total[2], values[0] + values[2]) and np.allclose(total[0], values[1]) and not total[1].any()
+    z = np.array([[200, 199], [-200, -200], [1, 2]], np.float32)
+    sums, top = maxent._exp(z.copy())
+    assert np.allclose(top + np.log(sums), np.logaddexp(z[:, 0], z[:, 1]))
