@@ -13,7 +13,7 @@ import pyarrow as pa
 from docs import plain, prose, table
 
 from barsift import session
-from barsift.llm import decontaminate, nearcopies, simhash
+from barsift.llm import common, decontaminate, nearcopies, simhash
 
 
 def shingled(text):
@@ -123,3 +123,50 @@ def test_windows_take_little_memory():
     finally:
         tracemalloc.stop()
     assert most < 40 << 20
+
+
+def test_a_large_group_of_near_copies_is_not_compared_all_with_all(spark, monkeypatch):
+    words, rows = prose("en", 4000, 980).split(), []
+    words = [f"{w}{i}" for i, w in enumerate(words[:130])]
+    for i in range(48):
+        w = list(words)
+        # Up to five changes keep each within the similarity of some others, not of all.
+        for k in range(2 + i % 4):
+            w[(29 * k + 7 * i) % len(w)] = f"x{i}y{k}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    monkeypatch.setattr(nearcopies, "PAIRED", 4, raising=False)
+    asked, confirmed = [], nearcopies._confirmed
+    monkeypatch.setattr(nearcopies, "_confirmed", lambda pairs, nodes, texts: asked.append(pairs.count()) or confirmed(pairs, nodes, texts))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect())
+    root = list(range(48))
+    close = 0
+    for x, y in itertools.combinations(range(48), 2):
+        if similar(rows[x][1], rows[y][1]):
+            close += 1
+            root = [root[x] if r == root[y] else r for r in root]
+    assert 0 < close < 48 * 47 // 4
+    assert len(got) == len(set(root)) and {root[i] for i in got} == set(root)
+    assert sum(asked) < 48 * 47 // 8
+
+
+def test_parity_bits_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 900):
+        a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in "ab")
+        b[:n // 2] = a[:n // 2]
+        a, b = np.unique(a), np.unique(b)
+        bits = [int.from_bytes(nearcopies._parities(x), "little") for x in (a, b)]
+        assert len(nearcopies._parities(a)) == 8 * nearcopies.PARITIES
+        assert 0 < (bits[0] ^ bits[1]).bit_count() <= len(np.setxor1d(a, b)) and nearcopies._parities(a) == nearcopies._parities(a[::-1])
+
+
+def test_field_of_hashes_misses_none(spark, monkeypatch):
+    monkeypatch.setattr(common, "_GATHERED", 50)
+    c = np.random.default_rng(6).integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)
+    rows = spark.createDataFrame([(int(x),) for x in [*c.view(np.int64), *c[:100].view(np.int64), *c[:30].view(np.int64)]], "c long").repartition(3)
+    assert common.in_field(common.field_of(rows), c).all()
+    twice = common.hash_field(rows, lambda batch: [batch.column(0).to_numpy().view(np.uint64)])
+    assert common.in_field(twice, c).tolist() == [True] * 100 + [False] * 200
+    none = common.field_of(rows.limit(0))
+    asked, rest = common.split_by_field(rows, "c", twice)
+    assert not none.any() and asked.count() == 230 and rest.count() == 200
