@@ -12,8 +12,9 @@ not grow with the corpus; the word counts do, and stay in Spark.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ TASK_BYTES = 256 << 20
 _TOKENS = 1 << 12
 _REMEMBERED = 300_000
 _DISTINCT = 500_000
+_ENDINGS = 100_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -52,52 +54,47 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Index(dict):
-    """Numbers words as they come."""
+class _Endings(dict):
+    """First slot of the class of a word by its last letters."""
 
-    def __init__(self, words=()):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.fresh = list(words)
-
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(word)
-        i = self[word] = len(self)
-        return i
+    def __missing__(self, ending: bytes) -> int:
+        if len(self) > _ENDINGS:
+            self.clear()
+        first = self[ending] = xxhash.xxh3_64_intdigest(ending) % CLASSES * SLOTS
+        return first
 
 
 class Words:
-    """Numbers of the words of a task: hash, class and slot."""
+    """Numbers of the words of a task, as they come: hash, class and slot."""
 
     def __init__(self, words: list[bytes] = ()):
-        self.index = _Index(words)
+        self.index = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        self.endings = _Endings()
         self.hash = np.zeros(0, np.uint64)
         self.cell = np.zeros(0, np.int32)
         self.settle()
 
-    def numbers(self, text: bytes) -> list[int]:
+    def numbers(self, text: bytes) -> np.ndarray:
         """The text's words and its end."""
-        index = self.index
-        out = [index[w] for w in text.lower().split()]
-        out.append(index[END])
-        return out
+        words = text.lower().split()
+        words.append(END)
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def settle(self) -> None:
-        fresh = self.index.fresh
-        if fresh:
-            digest = xxhash.xxh3_64_intdigest
-            h = np.array([digest(w) for w in fresh], np.uint64)
-            ending = np.array([digest(w[-3:]) for w in fresh], np.uint64)
-            cell = (ending % np.uint64(CLASSES)) * np.uint64(SLOTS) + (h >> np.uint64(40)) % np.uint64(SLOTS)
+        n = len(self.index) - len(self.hash)
+        if n:
+            fresh = list(islice(self.index, len(self.hash), None))
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, n)
+            first = np.fromiter(map(self.endings.__getitem__, [w[-3:] for w in fresh]), np.int32, n)
             self.hash = np.concatenate([self.hash, h])
-            self.cell = np.concatenate([self.cell, cell.astype(np.int32)])
-            self.index.fresh = []
+            self.cell = np.concatenate([self.cell, first + ((h >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int32)])
 
 
 def _pieces(texts: list[bytes], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of ``_TOKENS`` tokens: word numbers, the text of each, and numbers and texts of the three before the run."""
     ids = [words.numbers(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in ids])
-    ids = np.concatenate([np.array(x, np.int64) for x in ids]) if texts else np.zeros(0, np.int64)
+    ids = np.concatenate(ids) if texts else np.zeros(0, np.int64)
     words.settle()
     for a in range(0, len(ids), _TOKENS):
         yield ids[a:a + _TOKENS], owner[a:a + _TOKENS], ids[max(0, a - 3):a + _TOKENS], owner[max(0, a - 3):a + _TOKENS]
