@@ -1,8 +1,9 @@
-"""Cross-section: sessions are dealt once, and no row is left out."""
+"""Cross-section and feature matrix: sessions are dealt once, wide rows never, and no row is left out."""
 
 import pandas as pd
 from panels import to_spark, wavy
 
+from barsift.functions.fixed import FEATURE_GROUPS
 from barsift.operators import matrix
 from barsift.session import staged
 
@@ -24,3 +25,15 @@ def test_sessions_are_dealt_once(spark):
     # Rows without any known value stay, in both ways.
     assert whole.count() == split.count() == 168
     _same(whole, split)
+
+
+def test_matrix_is_the_features_side_by_side(spark):
+    panel = _panel(spark)
+    got = matrix.feature_matrix(panel)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all("dist_ma250" not in line for line in plan.splitlines() if "Exchange" in line) and got.count() == 168
+    names = ["code", "date", *FEATURE_GROUPS["market"], *FEATURE_GROUPS["cross"], *FEATURE_GROUPS["momentum"]]
+    price = staged(matrix.with_price_features(panel))
+    _same(got.select(names), matrix.with_cross_section(matrix.with_market_features(price), source=price).select(names))
+    strided = matrix.feature_matrix(panel, stride=5)
+    assert [r.row_no for r in strided.select("row_no").orderBy("row_no").collect()] == list(range(0, 168, 5))
