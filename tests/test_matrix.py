@@ -2,7 +2,9 @@
 
 import pandas as pd
 from panels import to_spark, wavy
+from pyspark.sql import functions as F
 
+from barsift import plans
 from barsift.functions.fixed import FEATURE_GROUPS
 from barsift.operators import matrix
 from barsift.session import staged
@@ -37,3 +39,10 @@ def test_matrix_is_the_features_side_by_side(spark):
     _same(got.select(names), matrix.with_cross_section(matrix.with_market_features(price), source=price).select(names))
     strided = matrix.feature_matrix(panel, stride=5)
     assert [r.row_no for r in strided.select("row_no").orderBy("row_no").collect()] == list(range(0, 168, 5))
+
+
+def test_the_matrix_query_keeps_every_bar(spark):
+    assert "row_no" not in plans.checks()["m14_feature_matrix"]
+    folder = "/root/testdata/sf0.001"
+    bars = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey", F.date_trunc("week", "l_shipdate")).distinct().count()
+    assert plans.load()["m14_feature_matrix"](spark, folder).count() == bars
