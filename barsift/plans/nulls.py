@@ -166,5 +166,5 @@ def _m12p(spark, folder):
     score = (30.5 - F.col("close")) / 10.5 * 0.7 + 0.3 * close_location()
     pop = staged(rows.select("code", "date", F.col("label_bull").alias("y"), score.alias("score"), "close", "volume", "high", "low"))
     forms = nb.fold_permutations(pop, staged(plan_of(pop)), FEATURES, SEEDS)
-    got = nb.paired_verdict(nb.fold_rows(nb.published(nb.scored(forms), RATE)))
+    got = nb.paired_verdict(nb.fold_rows(nb.published(nb.scored(forms), RATE), area=False))
     return got.withColumns({c: r6(F.col(c)) for c in ("precision", "base_rate", "mean_difference", "sign_p", "without_largest")})
